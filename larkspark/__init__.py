@@ -1,0 +1 @@
+"""A Spark-native engine for star-schema and nested data."""
