@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     def score(vecs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = ["query", "entry", "score"]
         if not len(vecs) or not len(queries):
-            return pd.DataFrame({c: [] for c in columns}).astype({"score": float})
+            return pd.DataFrame({c: pd.Series([], dtype=float if c == "score" else object) for c in columns})
         x = np.frombuffer(b"".join(vecs["data"]), float).reshape(-1, dim)
         y = np.frombuffer(b"".join(queries["data"]), float).reshape(-1, dim)
         keys, out = vecs["key"].to_numpy(), []
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 of = of[np.isfinite(s[i, of])]
                 exact = (x[of] * y[at + i]).sum(axis=1)
                 out += [(queries["query"].iloc[at + i], entries[j], e) for j, e in zip(of, exact, strict=True)]
-        return pd.DataFrame(out, columns=columns).astype({"score": float})
+        return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=float if c == "score" else object) for i, c in enumerate(columns)})
 
     kind = dict(table.dtypes)["entry"]
     found = left.groupBy("bucket", "v", "q").cogroup(right.groupBy("bucket", "v", "q")).applyInPandas(score, f"query {kind}, entry {kind}, score double")

@@ -281,4 +281,6 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text
         made += "_"
     out = docs.withColumn(made, surrogate_column(key, text_col))
     columns = [F.col(f"{made}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != entities_col]
-    return out.select(*columns, *[F.col(f"{made}.entities").alias(entities_col)] * bool(entities_col))
+    if entities_col:
+        columns.append(F.col(f"{made}.entities").alias(entities_col))
+    return out.select(*columns)

@@ -219,13 +219,14 @@ def fit_bags(bags: list[set[str]], y: np.ndarray, counts: dict[int, int]) -> Tox
     # The strings that set apart most; and greedily those that reach documents which few others reach, so rare kinds get landmarks too.
     ranked = sorted((w for w in in1 if in1[w] > 1 and in1[w] * n0 > 5 * in0[w] * n1), key=lambda w: (-apart(w), w))[: 40 * LANDMARKS]
     good = set(ranked)
-    first = ranked[: LANDMARKS // 4]
-    left = [(b & good, len(b.intersection(first))) for b in of1]
-    for w in ranked:
-        if len(first) < LANDMARKS // 2 and w not in first and sum(w in b for b, n in left if n < 2) > 1:
+    # Labels err: what stands in two or three of the toxic kinds only may do so by chance, so it's neither a positive nor a landmark.
+    strong = [w for w in ranked if in1[w] >= STRONG_COUNT and ratio(w) >= STRONG_RATIO][:1500]
+    first = strong[: LANDMARKS // 4]
+    left = [(b.intersection(strong), len(b.intersection(first))) for b in of1]
+    for w in strong[len(first) :]:
+        if len(first) < LANDMARKS // 2 and sum(w in b for b, n in left if n < 2) > 1:
             first.append(w)
             left = [(b, n + (w in b)) for b, n in left]
-    strong = [w for w in ranked if in1[w] >= STRONG_COUNT and ratio(w) >= STRONG_RATIO][:1500]
     usual = [w for w, _ in sorted(in0.items(), key=lambda x: (-x[1], x[0])) if w not in good]
     rare = sorted((w for w in in0 if in0[w] < 3 and w not in good), key=lambda w: (hash_of(w), w))
     if not first:
@@ -250,7 +251,7 @@ def fit_bags(bags: list[set[str]], y: np.ndarray, counts: dict[int, int]) -> Tox
         top = lambda b: max(b, key=lambda s: (score[s], s), default="")
         if turn < ITERATIONS - 1:
             best = sorted({top(b) for b in of1} - {""})
-            positives = dict.fromkeys([*strong, *(w for w in first if score[w] > -0.5), *[w for w in best if score[w] > -0.5 and ratio(w) > 3][:1500]]) or positives
+            positives = dict.fromkeys([*strong, *(w for w in first if score[w] > -0.5), *[w for w in best if score[w] > 0 and in1[w] > 1 and ratio(w) >= STRONG_RATIO / 2][:1500]]) or positives
             negatives.update(dict.fromkeys(w for w in sorted({top(b) for b in of0} - {""}) if w not in positives))
     x = np.maximum(model.highest(bags), -3.0)
     model.scale = calibrate(x, y, counts)

@@ -1,0 +1,396 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd inputs."""
+
+import hashlib
+import math
+import struct
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from larkspark.llm import ann, bpe, components, minhash, packing, pii, quality, queries, rules, sharding, toxicity, warc
+from tests.oracle import connect, same
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None, "en"), (2, "", None), (3, "x" * 200_000, "en"), (4, "same text of many words here " * 30, "de"), (4, "same text of many words here " * 30, "de"), (None, "no id", "en"), (5, " \n\t ", "en")]
+DOCS = "doc_id long, text string, lang string, source string, score double, component_id string, bucket int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, and extra columns with names that the operators use."""
+    return spark.createDataFrame([(i, t, g, None, 0.5, "x", 1) for i, t, g in ODD], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# 1
+
+
+def held(rows, limit=1024):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= limit
+    return bins
+
+
+def test_packing_is_whole_and_tight(spark, docs):
+    rows = queries.op1_best_fit_packing(spark, SF).collect()
+    bins = held(rows)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = defaultdict(dict)
+    for r in rows:
+        pieces[r["doc_id"]][r["piece"]] = r
+    total = 0
+    for d in docs.collect():
+        ids = [*t.encode(d["text"] or "", add_special_tokens=False).ids, 2]
+        total += len(ids)
+        own = [pieces[d["doc_id"]][k] for k in sorted(pieces[d["doc_id"]])]
+        assert [p["start"] for p in own] == [0, *np.cumsum([p["length"] for p in own])[:-1]]
+        assert all(p["length"] == 1024 for p in own[1:]) and sum(p["length"] for p in own) == len(ids)
+        for p in own:
+            part = ids[p["start"] : p["start"] + p["length"]]
+            assert p["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+    assert len(bins) <= 1.01 * math.ceil(total / 1024) + 1
+
+
+def test_packing_of_odd_rows(odd, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack_documents(odd, path).collect()
+    held(rows)
+    assert sum(r["doc_id"] == 4 for r in rows) == 2 and [r["length"] for r in rows if r["doc_id"] == 1] == [1]
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_evolution_keeps_every_item():
+    import random
+
+    sizes = [random.Random(7).randint(1, 1023) for _ in range(400)]
+    best = packing.evolve(sizes, 1024, [], random.Random(1))
+    assert sorted(i for b in best for i in b) == list(range(400))
+    assert all(sum(sizes[i] for i in b) <= 1024 for b in best)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab c\n\té'é日<|endoftext|> 12"), max_size=40))
+def test_chunked_encoder_is_exact(text):
+    global _CHUNKED, _REFERENCE
+    if "_CHUNKED" not in globals():
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        _CHUNKED, _REFERENCE = packing.ChunkedEncoder(path), Tokenizer.from_file(path)
+    ids = _REFERENCE.encode(text, add_special_tokens=False).ids
+    assert _CHUNKED.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+# 2
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="abcdefghijklmnoprstuvwy' ", max_size=60))
+def test_bpe_is_exact(text):
+    global _BPE, _WORDS
+    if "_BPE" not in globals():
+        path = public_tokenizers.path("word_bpe_49k.json")
+        _BPE, _WORDS = bpe.BacktrackingBPE(path), Tokenizer.from_file(path)
+    ids = _WORDS.encode(text, add_special_tokens=False).ids
+    got, said = _BPE.encode(text)
+    assert list(struct.unpack(f"<{len(got) // 4}I", got)) == ids
+    assert said.decode() == _WORDS.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query(spark, docs, odd, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r for r in queries.op2_bpe(spark, SF).collect()}
+    for d in docs.collect():
+        ids = t.encode(d["text"] or "", add_special_tokens=False).ids
+        assert got[d["doc_id"]]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert got[d["doc_id"]]["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    rows = bpe.bpe_encode(odd, path).collect()
+    assert len(rows) == len(ODD) and next(r for r in rows if r["doc_id"] == 1)["ids"] == []
+    assert bpe.bpe_encode(empty, path).count() == 0
+
+
+# 3
+
+
+def brute_components(texts, k, percent):
+    sets = {i: set(minhash.shingles(t, k).tolist()) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            common = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}, sets
+
+
+def test_near_duplicates_match_brute_force(spark, docs):
+    want, sets = brute_components({d["doc_id"]: d["text"] for d in docs.collect()}, 3, 85)
+    for r in queries.op3_near_duplicates(spark, SF).collect():
+        assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[r["doc_id"]], len(sets[r["doc_id"]]), want[r["doc_id"]] == r["doc_id"])
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """A group of near copies whose pairs lie on both sides of the threshold."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+        texts[i] = " ".join(words)
+    want, _ = brute_components(texts, 3, 85)
+    rows = minhash.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want
+    assert len(set(want.values())) > 1
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    rows = minhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and all(r["kept"] for r in rows)
+    assert next(r for r in rows if r["doc_id"] == 1)["n_shingles"] == 0
+    assert minhash.drop_near_duplicates(odd).columns == odd.columns
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(1)
+    a, b = (minhash.mix(rng.integers(0, 1 << 62, 3000, dtype=np.uint64)) for _ in range(2))
+    both = np.concatenate([a, b])
+    assert (minhash.merge_registers(minhash.registers(a), minhash.registers(b)) == minhash.registers(both)).all()
+    j = minhash.estimate(minhash.registers(a)[None], minhash.registers(both)[None], np.array([3000.0]), np.array([6000.0]))
+    assert abs(j[0] - 0.5) < 0.15
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+# 4
+
+
+def test_warc_round_trip(spark):
+    fake = "x\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(i, f"u{i}", fake * (i % 4) + "é" * i + "WARC/1.1\r\n" * (i % 2)) for i in range(60)] + [(60, "u", "same" * 40), (61, None, "same" * 40), (62, "u", None), (None, "u", "same" * 40), (63, "u", fake * 4000), (64, "u", "tiny"), (65, "u", "tiny")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = warc.archive_pages(pages).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    want = sorted((i if i is not None else -1, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i == 61 else "response", 60 if i == 61 else -1) for i, _, h in rows)
+    assert sorted((r[0] if r[0] is not None else -1, r[1], r[2], r[3], -1 if r[4] is None else r[4]) for r in got) == want
+    assert warc.archive_pages(pages.filter("false")).count() == 0
+
+
+def test_warc_query(spark):
+    same(queries.op4_warc(spark, SF), connect(SF), queries.WARC_SQL)
+
+
+# 5 and 6
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op5_toxicity", "toxic", 0.95), ("op6_quality", "quality", 0.97)])
+def test_classifiers_on_held_out_rows(spark, name, label, least):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", F.col(label).alias("y")).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert sum(r["predicted"] == r["y"] for r in rows) / len(rows) >= least
+
+
+@pytest.mark.parametrize(("module", "score", "label"), [(toxicity, toxicity.score_toxicity, "toxic"), (quality, quality.score_quality, "quality")])
+def test_classifiers_on_odd_rows(spark, odd, empty, docs, module, score, label):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3, 6)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = score(odd, labels).collect()
+    assert len(rows) == len(ODD) and len({r["score"] for r in rows}) == 1
+    real = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = score(odd.select("doc_id", "text").union(docs.select("doc_id", "text")), real).collect()
+    assert len(rows) == len(ODD) + 200 and all(r["score"] is not None and 0 <= r["score"] <= 1 for r in rows)
+    assert score(empty, real).count() == 0
+
+
+def test_kernel_tolerates_gaps():
+    bags = [{f"w{i}", "idiot" if i % 2 else "the"} for i in range(60)]
+    model = toxicity.fit_bags(bags, np.array([i % 2 for i in range(60)]), {0: 30, 1: 30})
+    hit, gap, clean = model.decisions(["idiot", "id.i-ot", "table"])
+    assert hit > clean and gap > clean
+
+
+def test_forward_backward_matches_enumeration():
+    import itertools
+
+    chains = quality.Chains([quality.lines_of("a b\nc d e\nFF!! GG!!"), quality.lines_of("")])
+    emit, trans = np.array([0.3, -1.0, 0.7]), np.array([[0.2, -0.4], [-0.1, 0.5]])
+    good, _, log_z = chains.recursions(emit, trans)
+    paths = {y: math.exp(sum(e * v for e, v in zip(emit, y)) + sum(trans[a][b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=3)}
+    assert math.log(sum(paths.values())) == pytest.approx(log_z[0])
+    assert [sum(p for y, p in paths.items() if y[t]) / sum(paths.values()) for t in range(3)] == pytest.approx(list(good))
+
+
+# 7
+
+
+def test_neighbours_recall(spark):
+    got = defaultdict(list)
+    for r in queries.op7_nearest(spark, SF).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    v, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    hits = n = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[q]
+        s[q] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]])
+        hits, n = hits + len(best & {i for i, _ in got[ids[q]]}), n + 20
+        assert len(got[ids[q]]) == 20
+        assert all(x == pytest.approx(float(s[ids == i][0]), abs=1e-12) for i, x in got[ids[q]])
+    assert hits / n >= 0.9
+
+
+def test_neighbours_of_odd_vectors(spark):
+    bad = [(100, None), (101, [0.0, 0.0]), (102, [1.0, None]), (103, [float("nan"), 1.0]), (104, [float("inf"), 1.0]), (105, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    rows = [(i, [1.0, 1.0]) for i in range(60)] + [(60, [2.0, 0.5]), (61, [-1.0, 0.0])] + bad
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 0] == [60, 1, 2]
+    assert [r["vec_id"] for r in got if r["query_id"] == 20] == [60, 0, 1]
+    assert {r["query_id"] for r in got} == {0, 20, 40, 60}
+    assert ann.nearest(df.filter("false"), F.lit(True)).count() == 0
+
+
+# 8
+
+
+def test_sharding_is_balanced_and_whole(spark, odd, empty):
+    rows = queries.op8_sharding(spark, SF).collect()
+    assert len(rows) == 200
+    slots, sizes, of_text = defaultdict(list), defaultdict(int), defaultdict(set)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+        of_text[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(8))
+    assert max(sizes.values()) / (sum(sizes.values()) / 8) < 1.1
+    assert all(len(s) == 1 for s in of_text.values())
+    assert sharding.shard(odd).count() == len(ODD) and sharding.shard(empty).count() == 0
+
+
+def test_a_group_larger_than_a_shard_is_split(spark):
+    df = spark.createDataFrame([(i, "copy " * 20) for i in range(900)] + [(i, f"text {i}") for i in range(900, 1800)], "doc_id long, text string")
+    sizes = sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    total = sum(r["b"] for r in sizes) / 8
+    assert max(abs(r["b"] - total) for r in sizes) / total < 0.05
+
+
+# 9
+
+
+def test_rules_match_oracle(spark):
+    same(queries.op9_quality_rules(spark, SF), connect(SF), rules.RULES_SQL)
+
+
+def test_rules_on_odd_rows(odd, empty):
+    rows = rules.apply_rules(odd).collect()
+    assert len(rows) == len(ODD)
+    assert all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (1, 2, 3, 5))
+    repeated = [r for r in rows if r["doc_id"] == 4]
+    assert all(r["n_words"] == 180 and r["n_repeat_words"] == 180 for r in repeated)
+    assert rules.apply_rules(empty).count() == 0
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="ab #\n\t", max_size=30), min_size=1, max_size=8))
+def test_base_counts_match_brute_force(texts):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    got = {r["doc_id"]: r for r in rules.base_counts(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        covered = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if x.split()]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), t.count("#"), len(lines) - len(set(lines)), len(covered))
+
+
+# 10
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=2, max_size=12), st.lists(st.integers(0, 9), min_size=2, max_size=12))
+def test_permutation_is_injective_without_fixed_points(x, y):
+    p = pii.Permutation(b"k", "t")
+    a, b = p.apply(x, [10] * len(x)), p.apply(y, [10] * len(y))
+    assert a != x and (x == y) == (a == b)
+
+
+def test_whole_small_domain_is_permuted():
+    p = pii.Permutation(b"k", "t")
+    seen = {tuple(p.apply([a, b], [6, 10])) for a in range(6) for b in range(10)}
+    assert len(seen) == 60
+
+
+def test_surrogates_keep_type_and_coreference():
+    s = pii.Surrogates(b"key")
+    text = 'Mail Ann.12@mail3.example.com or ann.12@mail3.example.com, +1 (017) 555-7713, 161.17.88.162, 4111111111111111, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", Mrs Anna Smith and Herr Müller, 123-45-6789.'
+    out, found = s.replace(text)
+    assert [k for k, *_ in found] == ["email", "email", "phone", "ip", "card", "secret", "name", "name", "ssn"]
+    assert len(out) == len(text) and all(text[a:b] != out[a:b] == new for _, a, b, new in found)
+    assert found[0][3].lower() == found[1][3]
+    assert pii.luhn([int(c) for c in found[4][3][:-1]]) == int(found[4][3][-1])
+    assert all(0 <= int(x) < 256 for x in found[3][3].split("."))
+    assert found[6][3].startswith("Mrs ") and found[6][3].split()[1] in pii.NAMES["f"]
+    assert [k for k, *_ in s.replace(out)[1]] == [k for k, *_ in found]
+    assert s.replace("version 2.0. of 1999") == ("version 2.0. of 1999", [])
+
+
+def test_surrogates_are_distinct_on_the_corpus(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {d["doc_id"]: d["text"] for d in docs.collect()}
+    new = defaultdict(set)
+    for r in pii.replace_pii(docs).collect():
+        for e in r["entities"]:
+            was = texts[r["doc_id"]][e["start"] : e["end"]]
+            assert was not in r["text"]
+            new[e["type"], was].add(e["surrogate"])
+    assert new and all(len(x) == 1 for x in new.values())
+    assert len({(k[0], *x) for k, x in new.items()}) == len(new)
+    rows = pii.replace_pii(odd, entities_col=None)
+    assert rows.columns == odd.columns and sorted(map(str, rows.collect())) == sorted(map(str, odd.collect()))
+    assert pii.replace_pii(empty).count() == 0
