@@ -49,4 +49,4 @@ def normal_mixture(df: DataFrame, columns: list[str], k: int, seed: int = 1):
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    return GaussianMixture(k=k, seed=seed).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(df))
+    return GaussianMixture(k=k, seed=seed, tol=1e-6, maxIter=200).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(df))

@@ -160,7 +160,7 @@ def join_composite_key(spark, d):
 
 
 from_sql("join_residual", "select o_orderkey, l_linenumber from orders join lineitem on o_orderkey = l_orderkey and l_extendedprice > o_totalprice * 0.5 and l_shipdate > o_orderdate + interval '60' day")
-from_sql("join_star", "select n_name, cast(extract(year from o_orderdate) as int) as o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem, orders, customer, nation, region where l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA' and l_quantity < 24 group by 1, 2 order by 1, 2")
+from_sql("join_star", "select n_name, cast(extract(year from o_orderdate) as int) as o_year, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from lineitem, orders, customer, nation, region where l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA' and l_quantity < 24 group by 1, 2 order by 1, 2")
 
 
 @query("select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey")
@@ -187,7 +187,7 @@ from_sql("in_subquery_having", "select o_orderkey, o_totalprice from orders wher
 from_sql("scalar_subquery_corr", "select l_orderkey, l_linenumber from lineitem l join part on p_partkey = l_partkey where l_quantity < (select 0.4 * avg(l_quantity) from lineitem x where x.l_partkey = p_partkey) and p_size < 10")
 from_sql("join_left_outer", "select c_count, count(*) as custdist from (select c_custkey, count(o_orderkey) as c_count from customer left join orders on c_custkey = o_custkey and o_orderpriority <> '1-URGENT' group by c_custkey) t group by c_count")
 from_sql("join_full_outer", "select coalesce(cn, sn) as nationkey, c, s from (select c_nationkey as cn, count(*) as c from customer where c_acctbal > 9000 group by 1) a full outer join (select s_nationkey as sn, count(*) as s from supplier where s_acctbal > 0 group by 1) b on cn = sn")
-from_sql("join_or_factor", "select round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#12' and l_quantity between 1 and 11 and p_size between 1 and 15) or (p_partkey = l_partkey and p_brand = 'Brand#23' and l_quantity between 10 and 20 and p_size between 1 and 30)")
+from_sql("join_or_factor", "select round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#12' and l_quantity between 1 and 11 and p_size between 1 and 15) or (p_partkey = l_partkey and p_brand = 'Brand#23' and l_quantity between 10 and 20 and p_size between 1 and 30)")
 from_sql("cross_join", "select r_name, count(*) as n from region cross join nation group by r_name")
 
 
@@ -339,7 +339,7 @@ def router_hash(spark, d):
 from_sql("union_distinct", "select c_nationkey as k from customer union select s_nationkey from supplier")
 from_sql("intersect_superset", "select c_nationkey as k from customer where c_acctbal > 9500 intersect select s_nationkey from supplier")
 from_sql("except_superset", "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 0")
-from_sql("window_superset", "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) t where r <= 3")
+from_sql("window_superset", "select * from (select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as r from orders) t where r <= 3")
 
 
 # Changes
@@ -369,9 +369,9 @@ supp as (select s_suppkey, n_name as s_nation, r_name as s_region, concat(n_name
 prt as (select p_partkey, p_brand as p_brand1, p_type as p_category, substr(p_brand, 7, 1) as p_mfgr from part)
 """
 _SUM1 = "select round(sum(lo_extendedprice * lo_discount), 2) as revenue from lineorder where "
-_FLIGHT2 = "select round(sum(lo_revenue), 2) as lo_revenue, d_year, p_brand1 from lineorder join prt on lo_partkey = p_partkey join supp on lo_suppkey = s_suppkey where {} group by d_year, p_brand1 order by d_year, p_brand1"
-_FLIGHT3 = "select {0}, d_year, round(sum(lo_revenue), 2) as lo_revenue from lineorder join cust on lo_custkey = c_custkey join supp on lo_suppkey = s_suppkey where {1} group by {0}, d_year order by d_year, lo_revenue desc, {0}"
-_FLIGHT4 = "select {0}, round(sum(lo_revenue - lo_supplycost), 2) as profit from lineorder join cust on lo_custkey = c_custkey join supp on lo_suppkey = s_suppkey join prt on lo_partkey = p_partkey where {1} group by {0} order by {0}"
+_FLIGHT2 = "select round(sum(lo_revenue), 4) as lo_revenue, d_year, p_brand1 from lineorder join prt on lo_partkey = p_partkey join supp on lo_suppkey = s_suppkey where {} group by d_year, p_brand1 order by d_year, p_brand1"
+_FLIGHT3 = "select {0}, d_year, round(sum(lo_revenue), 4) as lo_revenue from lineorder join cust on lo_custkey = c_custkey join supp on lo_suppkey = s_suppkey where {1} group by {0}, d_year order by d_year, lo_revenue desc, {0}"
+_FLIGHT4 = "select {0}, round(sum(lo_revenue - lo_supplycost), 4) as profit from lineorder join cust on lo_custkey = c_custkey join supp on lo_suppkey = s_suppkey join prt on lo_partkey = p_partkey where {1} group by {0} order by {0}"
 for _name, _sql in {
     "ssb_q1_1": _SUM1 + "d_year = 1996 and lo_discount between 1 and 3 and lo_quantity < 25",
     "ssb_q1_2": _SUM1 + "d_yearmonthnum = 199601 and lo_discount between 4 and 6 and lo_quantity between 26 and 35",
@@ -392,13 +392,13 @@ for _name, _sql in {
 for _name, _sql in {
     "tpch_q1": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_extendedprice), 4) as avg_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order from lineitem where l_shipdate <= timestamp '2001-12-01' - interval '90' day group by l_returnflag, l_linestatus order by l_returnflag, l_linestatus",
     "tpch_q4": "select o_orderpriority, count(*) as order_count from orders where o_orderdate >= timestamp '1996-07-01' and o_orderdate < timestamp '1996-07-01' + interval '3' month and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate > o_orderdate + interval '30' day) group by o_orderpriority order by o_orderpriority",
-    "tpch_q5": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer, orders, lineitem, supplier, nation, region where c_custkey = o_custkey and l_orderkey = o_orderkey and l_suppkey = s_suppkey and c_nationkey = s_nationkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA' and o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-01-01' + interval '1' year group by n_name order by revenue desc, n_name",
+    "tpch_q5": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from customer, orders, lineitem, supplier, nation, region where c_custkey = o_custkey and l_orderkey = o_orderkey and l_suppkey = s_suppkey and c_nationkey = s_nationkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA' and o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-01-01' + interval '1' year group by n_name order by revenue desc, n_name",
     "tpch_q6": "select round(sum(l_extendedprice * l_discount), 2) as revenue from lineitem where l_shipdate >= timestamp '1996-01-01' and l_shipdate < timestamp '1997-01-01' and l_discount between 0.045 and 0.075 and l_quantity < 24",
-    "tpch_q7": "select supp_nation, cust_nation, l_year, round(sum(volume), 2) as revenue from (select n1.n_name as supp_nation, n2.n_name as cust_nation, cast(extract(year from l_shipdate) as int) as l_year, l_extendedprice * (1 - l_discount) as volume from supplier, lineitem, orders, customer, nation n1, nation n2 where s_suppkey = l_suppkey and o_orderkey = l_orderkey and c_custkey = o_custkey and s_nationkey = n1.n_nationkey and c_nationkey = n2.n_nationkey and ((n1.n_name = 'NATION_3' and n2.n_name = 'NATION_7') or (n1.n_name = 'NATION_7' and n2.n_name = 'NATION_3')) and l_shipdate between timestamp '1996-01-01' and timestamp '1997-12-31') shipping group by supp_nation, cust_nation, l_year order by supp_nation, cust_nation, l_year",
+    "tpch_q7": "select supp_nation, cust_nation, l_year, round(sum(volume), 4) as revenue from (select n1.n_name as supp_nation, n2.n_name as cust_nation, cast(extract(year from l_shipdate) as int) as l_year, l_extendedprice * (1 - l_discount) as volume from supplier, lineitem, orders, customer, nation n1, nation n2 where s_suppkey = l_suppkey and o_orderkey = l_orderkey and c_custkey = o_custkey and s_nationkey = n1.n_nationkey and c_nationkey = n2.n_nationkey and ((n1.n_name = 'NATION_3' and n2.n_name = 'NATION_7') or (n1.n_name = 'NATION_7' and n2.n_name = 'NATION_3')) and l_shipdate between timestamp '1996-01-01' and timestamp '1997-12-31') shipping group by supp_nation, cust_nation, l_year order by supp_nation, cust_nation, l_year",
     "tpch_q9": "select nation_name, o_year, round(sum(amount), 2) as sum_profit from (select n_name as nation_name, cast(extract(year from o_orderdate) as int) as o_year, l_extendedprice * (1 - l_discount) - 0.6 * p_retailprice * l_quantity as amount from part, supplier, lineitem, orders, nation where s_suppkey = l_suppkey and p_partkey = l_partkey and o_orderkey = l_orderkey and s_nationkey = n_nationkey and p_name like '%ring%') profit group by nation_name, o_year order by nation_name, o_year desc",
     "tpch_q17": "select round(sum(l_extendedprice) / 7.0, 2) as avg_yearly from lineitem, part where p_partkey = l_partkey and p_brand = 'Brand#23' and l_quantity < (select 0.4 * avg(l_quantity) from lineitem where l_partkey = p_partkey)",
     "tpch_q18": "select c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, round(sum(l_quantity), 2) as q from customer, orders, lineitem where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 180) and c_custkey = o_custkey and o_orderkey = l_orderkey group by c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice order by o_totalprice desc, o_orderdate, o_orderkey limit 100",
-    "tpch_q19": "select round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#12' and p_type in ('SMALL', 'PROMO') and l_quantity >= 1 and l_quantity <= 11 and p_size between 1 and 25) or (p_partkey = l_partkey and p_brand = 'Brand#23' and p_type in ('MEDIUM', 'LARGE') and l_quantity >= 10 and l_quantity <= 20 and p_size between 1 and 30)",
+    "tpch_q19": "select round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#12' and p_type in ('SMALL', 'PROMO') and l_quantity >= 1 and l_quantity <= 11 and p_size between 1 and 25) or (p_partkey = l_partkey and p_brand = 'Brand#23' and p_type in ('MEDIUM', 'LARGE') and l_quantity >= 10 and l_quantity <= 20 and p_size between 1 and 30)",
 }.items():
     from_sql(_name, _sql)
 
