@@ -8,9 +8,10 @@ how many registers are larger, smaller and equal and from both sizes; pairs that
 verified on the full sets. Documents with equal sets are one node from the start.
 
 No pairs within a bucket are listed as a whole: first every member of a bucket is held against the smallest
-one, then, in buckets that still hold several components, against the largest one of another component, and
-what is left is compared only between different components and only where the similarities to those two
-members allow a link (the Jaccard distance is a metric).
+one, then, in buckets that still hold several components, against the largest one of another component. Buckets
+that hold several components even then are compared in blocks of bounded size, sketches first, between
+components that the block hasn't joined yet; a block returns only the links that join components, and a pair
+is looked at in the first band alone that it shares.
 
 Defined results: a null or empty text, or one without words, has the empty set and is linked with nothing.
 Rows with the same id are one document. A row with a null id is its own component, null, and is kept.
@@ -39,6 +40,10 @@ LOWEST = -40
 MARGIN = 0.18
 #: Members that one task compares with a bucket's centre.
 CHUNK = 256
+#: Members of a bucket on each side of a block.
+BLOCK = 512
+#: Ids of candidates are broadcast up to this counted number (8 bytes each).
+BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 400_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,7 +139,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with their exact similarity j and link. One side's set is held while its partners stream by, in chunks of bounded size."""
+    """pairs (a, b) and whether they are a link. One side's set is held while its partners stream by, in chunks of bounded size."""
     kind = dict(pairs.dtypes)["a"]
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
@@ -154,18 +159,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at[at == len(centre)] = 0
                 common = int((centre[at] == own).sum())
                 union = len(centre) + len(own) - common
-                rows.append((a, b, common / union, 100 * common >= percent * union))
-            yield pd.DataFrame(rows, columns=["a", "b", "j", "link"]).astype({"j": float, "link": bool})
+                rows.append((a, b, 100 * common >= percent * union))
+            yield pd.DataFrame(rows, columns=["a", "b", "link"]).astype({"link": bool})
 
     both = centres.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return both.mapInPandas(run, f"a {kind}, b {kind}, j double, link boolean")
+    return both.mapInPandas(run, f"a {kind}, b {kind}, link boolean")
 
 
 def _compare(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """What is known of each pair (a, b): a lowest and a highest possible similarity, and whether it is a link."""
+    """Each pair (a, b) and whether it is a link."""
     guess = cut(_estimated(pairs, nodes, percent), "estimates")
     sure = _verified(guess.filter("may").select("a", "b"), sets, percent)
-    return cut(sure.select("a", "b", F.col("j").alias("low"), F.col("j").alias("high"), "link").unionByName(guess.filter("not may").select("a", "b", (F.col("j") - MARGIN).alias("low"), (F.col("j") + MARGIN).alias("high"), F.lit(False).alias("link"))), "pairs")
+    return cut(sure.unionByName(guess.filter("not may").select("a", "b", F.lit(False).alias("link"))), "pairs")
+
+
+def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links of a block that join different components."""
+    rows = rows.sort_values("node").reset_index(drop=True)
+    band, i, j = (int(rows[c].iloc[0]) for c in ("band", "i", "j"))
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, REGISTERS)
+    items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+    n, chunk, node = rows["n"].to_numpy(float), rows["chunk"].to_numpy(), rows["node"].to_numpy()
+    _, part = np.unique(rows["component"], return_inverse=True)
+    part, found = part.copy(), []
+    for x in range(len(rows)):
+        far = np.flatnonzero((part != part[x]) & (chunk == (j if chunk[x] == i else i)) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
+        far = far[far > x]
+        if band and len(far):
+            equal = (sketch[far, : band * ROWS] == sketch[x, : band * ROWS]).reshape(len(far), band, ROWS).all(axis=2).any(axis=1)
+            far = far[~equal]
+        if not len(far):
+            continue
+        near = estimate(np.broadcast_to(sketch[x], (len(far), REGISTERS)), sketch[far], np.full(len(far), n[x]), n[far])
+        far = far[near >= percent / 100 - MARGIN]
+        for y in far[np.argsort(-near[near >= percent / 100 - MARGIN], kind="stable")]:
+            if part[y] == part[x]:
+                continue
+            at = np.searchsorted(items[x], items[y])
+            at[at == len(items[x])] = 0
+            common = int((items[x][at] == items[y]).sum())
+            if 100 * common >= percent * (len(items[x]) + len(items[y]) - common):
+                found.append((node[x], node[y]))
+                part[part == part[y]] = part[x]
+    return pd.DataFrame(found, columns=["a", "b"]).astype({"a": node.dtype, "b": node.dtype})
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,10 +214,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     equal = cut(equal, "equal")
     nodes = equal.select("node").join(prints.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node").dropDuplicates(["node"])
     nodes = cut(nodes, "nodes")
-    bands = nodes.select("node", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("bucket"))
+    bands = nodes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("band", "bucket"))
     first = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size")
     members = cut(bands.join(first, "bucket"), "members")
     wanted = members.select("node").distinct()
+    wanted = cut(wanted, "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,16 +239,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             break
         if not last:
             pairs = now.filter("component <> top.component").select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
+            found = _compare(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), nodes, sets, percent)
+            links = links.union(found.filter("link").select("a", "b"))
         else:
-            # To the bucket's centre: a pair can be a link only if the similarities to it differ by the threshold's distance at most.
-            to = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), "low", "high")
-            side = cut(now.select("bucket", "centre", "node", "component").join(to, ["centre", "node"], "left").withColumns({"low": F.when(F.expr("node = centre"), 1.0).otherwise(F.coalesce("low", F.lit(0.0))), "high": F.when(F.expr("node = centre"), 1.0).otherwise(F.coalesce("high", F.lit(1.0)))}), "sides")
-            x, y = side.alias("x"), side.alias("y")
-            pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.node < y.node and x.component <> y.component and x.low - y.high <= {1 - percent / 100 + 1e-9} and y.low - x.high <= {1 - percent / 100 + 1e-9}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = _compare(pairs, nodes, sets, percent)
-        known = known.unionByName(found)
-        links = known.filter("link").select("a", "b")
+            chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+            dealt = now.select("bucket", "band", "node", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
+            other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            blocks = other.select("bucket", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "chunk").join(nodes, "node").join(sets, "node")
+            found = blocks.groupBy("bucket", "i", "j").applyInPandas(lambda rows: _block_links(rows, percent), f"a {dict(nodes.dtypes)['node']}, b {dict(nodes.dtypes)['node']}")
+            links = links.union(cut(found.distinct(), "links"))
     else:
         parts = connected_components(links)
     of = prints.select("id", "n_shingles", "d1", "d2").join(equal.select("d1", "d2", "node"), ["d1", "d2"], "left").join(parts, "node", "left")
