@@ -85,7 +85,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     for r in table.select(F.posexplode("keys").alias("tree", "key")).groupBy("tree", F.shiftright("key", BITS - DEPTH).alias("prefix")).agg(F.count("*").alias("n")).collect():
         count[r["tree"], r["prefix"]] = r["n"]
     total = int(count[0].sum())
-    enough = max(k + 1, SHARE_PER_TREE * total * TREES)
+    # A sum over the trees of TREES * (k + 1) means that at least one tree holds k + 1 different entries.
+    enough = TREES * max(k + 1, SHARE_PER_TREE * total)
     levels = [count.reshape(TREES, 1 << x, -1).sum(axis=2) for x in range(DEPTH + 1)]
 
     def ascend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
