@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .toxicity import score_column
-from .training import calibrate, is_held_out, labelled_sample, sigmoid
+from .training import calibrate, fit_in_task, is_held_out, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the field is fitted on, at most.
 SAMPLE_PER_CLASS = 1200
@@ -183,7 +183,7 @@ def fit_chains(docs: list, y: np.ndarray, counts: dict[int, int]) -> QualityMode
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fits the field on a bounded sample of the labelled documents that aren't held out; only lines' measures go to the driver."""
+    """Fits the field on a bounded sample of the labelled documents that aren't held out; only the model goes to the driver."""
     small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
 
@@ -192,11 +192,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
             both = [lines_of(t) for t in b["text"]]
             yield pd.DataFrame({"measures": [[x for r in m for x in r] for m, _ in both], "sizes": [s for _, s in both], "y": b["y"]})
 
-    rows = sample.mapInPandas(measured, "measures array<double>, sizes array<int>, y int").collect()
-    rows.sort(key=lambda r: (r["y"], r["sizes"], r["measures"]))
-    k = len(_STEPS)
-    docs_ = [([tuple(r["measures"][i : i + k]) for i in range(0, len(r["measures"]), k)], list(r["sizes"])) for r in rows]
-    return fit_chains(docs_, np.array([r["y"] for r in rows], int), counts)
+    def fit(rows: pd.DataFrame) -> QualityModel:
+        k = len(_STEPS)
+        own = sorted(zip(rows["y"], map(list, rows["sizes"]), map(list, rows["measures"]), strict=True))
+        chains = [([tuple(m[i : i + k]) for i in range(0, len(m), k)], sizes) for _, sizes, m in own]
+        return fit_chains(chains, np.array([y for y, _, _ in own], int), counts)
+
+    return fit_in_task(sample.mapInPandas(measured, "measures array<double>, sizes array<int>, y int"), fit)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

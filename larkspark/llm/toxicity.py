@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .training import calibrate, is_held_out, labelled_sample, sigmoid
+from .training import calibrate, fit_in_task, is_held_out, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the machine is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
@@ -266,7 +266,7 @@ def hash_of(word: str) -> int:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fits the machine on a bounded sample of the labelled documents that aren't held out."""
+    """Fits the machine on a bounded sample of the labelled documents that aren't held out; only the model goes to the driver."""
     small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
 
@@ -274,9 +274,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", p
         for b in batches:
             yield pd.DataFrame({"bag": [sorted(strings(t)) for t in b["text"]], "y": b["y"]})
 
-    rows = sample.mapInPandas(bags, "bag array<string>, y int").toPandas()
-    order = sorted(range(len(rows)), key=lambda i: (rows["y"][i], list(rows["bag"][i])))
-    return fit_bags([set(rows["bag"][i]) for i in order], np.array([rows["y"][i] for i in order], int), counts)
+    def fit(rows: pd.DataFrame) -> ToxicityModel:
+        same: dict[str, str] = {}  # documents share most of their strings: each is kept once
+        own = sorted((int(y), [same.setdefault(w, w) for w in bag]) for y, bag in zip(rows["y"], rows["bag"], strict=True))
+        return fit_bags([set(bag) for _, bag in own], np.array([y for y, _ in own], int), counts)
+
+    return fit_in_task(sample.mapInPandas(bags, "bag array<string>, y int"), fit)
 
 
 def score_column(model, spark, text_col: str = "text") -> Column:

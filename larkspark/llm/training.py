@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, "id").select("text", "y"), counts
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
+    """fit(rows), worked out in one task: only the model goes to the driver, and a lost executor's fit is run again.
+
+    rows have to be bounded, as those of labelled_sample are; fit may not depend on their order.
+    """
+
+    none = pd.DataFrame(columns=rows.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [b for b in batches if len(b)]
+        yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(own, ignore_index=True) if own else none))]})
+
+    got = rows.repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(none)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
     """(a, b) of sigmoid(a * x + b), by regularised maximum likelihood with smoothed targets; classes weigh as in the training labels."""
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
