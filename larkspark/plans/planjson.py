@@ -42,28 +42,30 @@ EXPRESSIONS = {
 }
 
 
-def expression(e: dict, args: list | None = None) -> Column:
+def expression(e: dict, args: list | None = None, inside: tuple[str, Column] | None = None) -> Column:
+    """inside: a name and the column that paths beginning with it start from, as within a collection."""
     kind = e["expression"]
     if kind in ("int", "int64", "float", "bool", "string", "dstring", "date", "datetime"):
         value = None if e.get("isNull") else e["v"]
         return F.lit(value).cast(data_type(kind))
     if kind == "argument" or kind == "path":
-        return F.col(e["path"])
+        first, *rest = e["path"].split(".")
+        return fold(lambda c, name: c[name], rest, inside[1]) if inside and first == inside[0] else F.col(e["path"])
     if kind == "recordProjection":
-        return expression(e["e"], args)[e["attribute"]]
+        return expression(e["e"], args, inside)[e["attribute"]]
     if kind == "recordConstruction":
-        return F.struct(*[expression(a["e"], args).alias(a["name"]) for a in e["attributes"]])
+        return F.struct(*[expression(a["e"], args, inside).alias(a["name"]) for a in e["attributes"]])
     if kind == "if":
-        return F.when(expression(e["cond"], args), expression(e["then"], args)).otherwise(expression(e["else"], args))
+        return F.when(expression(e["cond"], args, inside), expression(e["then"], args, inside)).otherwise(expression(e["else"], args, inside))
     if kind == "cast":
-        return expression(e["e"], args).cast(data_type(e["type"]))
+        return expression(e["e"], args, inside).cast(data_type(e["type"]))
     if kind == "extract":
-        return extract(e["unit"], expression(e["e"], args))
+        return extract(e["unit"], expression(e["e"], args, inside))
     if kind == "placeholder":
         return F.lit((args or [])[e["index"]])
     if kind in EXPRESSIONS:
         inputs = e["args"] if "args" in e else [e[x] for x in ("left", "right", "e") if x in e]
-        return EXPRESSIONS[kind](*[expression(x, args) for x in inputs])
+        return EXPRESSIONS[kind](*[expression(x, args, inside) for x in inputs])
     raise ValueError(f"unknown expression {kind}")
 
 
@@ -100,8 +102,9 @@ def plan(node: dict | str, catalog: Catalog, args: list | None = None) -> DataFr
     if kind == "nest":
         return nested.nest(at(node["input"]), node["keys"], node["name"], node["fields"])
     if kind in ("unnest", "outer_unnest"):
-        df = (nested.unnest if kind == "unnest" else nested.outer_unnest)(at(node["input"]), node["path"], node["name"])
-        return df.filter(ex(node["p"])) if node.get("p") else df
+        # The predicate goes inside: a record without an element that satisfies it stays in the outer form.
+        where = (lambda x: expression(node["p"], args, (node["name"], x))) if node.get("p") else None
+        return (nested.unnest if kind == "unnest" else nested.outer_unnest)(at(node["input"]), node["path"], node["name"], where)
     if kind == "sort":
         return relational.sort(at(node["input"]), *[(s["field"], s["direction"].lower()) for s in node["e"]])
     if kind == "union-all":

@@ -76,6 +76,10 @@ def test_json_plan(catalog):
     arg = lambda c: {"expression": "argument", "path": c}
     node = {"operator": "reduce", "input": {"operator": "unnest", "input": {"operator": "scan", "relation": "families"}, "path": "kids", "name": "x"}, "e": [{"m": "max", "name": "top", "e": {"expression": "recordProjection", "e": arg("x"), "attribute": "k"}}]}
     assert plan(json.dumps(node), catalog).collect() == [(5,)]
+    over4 = {"expression": "gt", "left": arg("x.k"), "right": {"expression": "int", "v": 4}}
+    for kind, want in (("unnest", [("a", 5)]), ("outer_unnest", [("a", 5), ("b", None), ("c", None)])):
+        node = {"operator": "project", "input": {"operator": kind, "input": {"operator": "scan", "relation": "families"}, "path": "kids", "name": "x", "p": over4}, "e": [{"name": "name", "e": arg("name")}, {"name": "k", "e": arg("x.k")}]}
+        assert sorted(map(tuple, plan(node, catalog).collect())) == want
     with pytest.raises(ValueError):
         plan({"operator": "nonsense"}, catalog)
 
