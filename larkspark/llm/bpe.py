@@ -31,10 +31,14 @@ CACHE_ENTRIES = 600_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+"
 #: Texts of these characters only have one lower-case character for each and stay as they are under NFC, so
 #: str.lower() and a pattern of plain ranges do what the normaliser and the pattern above do, and faster.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-\u012f\u0131-\u024f"
-PLAIN = re.compile("[\\t-\\r -~\x85\xa0¡-\u012f\u0131-\u024f]*")
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-\u012f\u0131-\u017f"
+PLAIN = re.compile("[\\t-\\r -~\x85\xa0¡-\u012f\u0131-\u017f]*")
 PLAIN_PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0{LETTERS}0-9²³¹¼½¾]+")
 
+#: Characters of which all Unicode versions in use agree whether they are letters or numbers. Elsewhere a newer version
+#: knows more letters than the tokenizer's own pattern engine, so texts with others are cut by that engine.
+AGREED = re.compile("[\\0-\u052f\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5]*")
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -55,7 +59,8 @@ class BacktrackingBPE:
     def __init__(self, path: str):
         import ahocorasick
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -64,6 +69,7 @@ class BacktrackingBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pretoken = regex.compile(PRETOKEN)
+        self.splitter = Split(Regex(PRETOKEN), "removed", invert=True)
         self.alphabet = byte_alphabet()
         suffix = model["end_of_word_suffix"] or ""
         text_of = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -202,7 +208,8 @@ class BacktrackingBPE:
         if PLAIN.fullmatch(text):
             words = PLAIN_PRETOKEN.findall(text.lower())
         else:
-            words = self.pretoken.findall(self.normalizer.normalize_str(text))
+            text = self.normalizer.normalize_str(text)
+            words = self.pretoken.findall(text) if AGREED.fullmatch(text) else [w for w, _ in self.splitter.pre_tokenize_str(text)]
         get, one = self.words.get, self.pretoken_bytes
         found = [get(w) or one(w) for w in words]
         return b"".join([a for a, _ in found]), b" ".join([b for _, b in found])
