@@ -6,8 +6,10 @@ it. Its features are normalised by their norm as if all subsequences differed, w
 document is a bag of strings: its words with their ends marked, runs of single characters joined to one, and
 windows of long words. Training on labelled documents alternates (multiple-instance learning): landmarks
 and first positives are the strings that labelled documents set apart most; then each toxic document's
-highest string is its positive and each clean document's highest one a hard negative. A document's score is
-its highest string's, calibrated.
+highest string is its positive and each clean document's highest one a hard negative. A document's score
+combines its highest string's decision with the number and share of its strings on the toxic side, repeats
+included: a clean document may hold one such word by chance, a toxic one holds them throughout. The weights of
+the three come from documents that the machine which scored them wasn't fitted on.
 
 The decision is linear in the landmarks' feature maps, so their weighted sum is one table over character
 triples and a string's score costs the same for any number of landmarks.
@@ -38,6 +40,10 @@ STRONG_COUNT, STRONG_RATIO = 4, 20
 SPAN = 6
 DECAY = 0.5
 ITERATIONS = 3
+#: Machines that are fitted besides, each without a part of the documents, to learn how whole documents are scored.
+PARTS = 3
+#: The decision of a document without a string, as which lower ones count, and the machine's margin, as which higher ones do.
+LOWEST, MARGIN = -3.0, 1.0
 COST = 1000.0
 #: Longer words are cut into overlapping windows of this length.
 WINDOW = 24
@@ -66,11 +72,13 @@ def _code_table() -> np.ndarray:
 _TABLE = _code_table()
 
 
-def strings(text: str | None) -> set[str]:
-    """The distinct strings of a whole text."""
+def strings(text: str | None) -> Counter[str]:
+    """The strings of a whole text and how often each stands in it."""
     words = text.lower().split() if text else []
-    out = {w.strip(AROUND) for w in set(words)}
-    out.discard("")
+    out: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        out[w.strip(AROUND)] += n
+    out.pop("", None)
     if any(len(w) == 1 for w in out):
         run: list[str] = []
         for w in [*words, ""]:
@@ -78,11 +86,12 @@ def strings(text: str | None) -> set[str]:
                 run.append(w)
             elif run:
                 if len(run) > 2:
-                    out.add("".join(run))
+                    out["".join(run)] += 1
                 run = []
     for w in [w for w in out if len(w) > WINDOW]:
-        out.discard(w)
-        out.update(w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2))
+        n = out.pop(w)
+        for i in range(0, len(w) - WINDOW // 2, WINDOW // 2):
+            out[w[i : i + WINDOW]] += n
     return out
 
 
@@ -162,9 +171,9 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) ->
 
 
 class ToxicityModel:
-    """table: the decision's weight of each triple; bias; and the calibration."""
+    """table: the decision's weight of each triple; bias; and the calibration of a document's measures."""
 
-    def __init__(self, table: np.ndarray | None, bias: float, scale: tuple[float, float], share: float):
+    def __init__(self, table: np.ndarray | None, bias: float, scale: tuple[float, ...], share: float):
         self.table, self.bias, self.scale, self.share = table, bias, scale, share
         self.cache: dict[str, float] = {}
 
@@ -182,22 +191,60 @@ class ToxicityModel:
             out[at : at + 2048] = total / np.sqrt(np.maximum(norm, 1e-12))
         return out + self.bias
 
-    def highest(self, bags: list[set[str]]) -> np.ndarray:
+    def look_up(self, bags: list[Counter[str]]) -> None:
+        """Puts the decisions of all strings of bags into the cache."""
         new = list(set().union(*bags).difference(self.cache)) if bags else []
         if len(self.cache) + len(new) > CACHE_STRINGS:
             self.cache.clear()
             new = list(set().union(*bags))
         for at in range(0, len(new), 100_000):
             self.cache.update(zip(new[at : at + 100_000], self.decisions(new[at : at + 100_000]).tolist(), strict=True))
-        return np.array([max(map(self.cache.__getitem__, b), default=-3.0) for b in bags])
+
+    def measures(self, bags: list[Counter[str]]) -> np.ndarray:
+        """A row for each document: its highest decision, and the logarithms of the number and percentage of strings on the toxic side."""
+        self.look_up(bags)
+        out = np.zeros((len(bags), 3))
+        for i, b in enumerate(bags):
+            top = max(map(self.cache.__getitem__, b), default=LOWEST)
+            over = sum(n for w, n in b.items() if self.cache[w] > 0) if top > 0 else 0
+            out[i] = min(max(top, LOWEST), MARGIN), np.log1p(over), np.log1p(100 * over / b.total()) if over else 0
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.table is None:
             return np.full(len(texts), self.share)
-        return sigmoid(self.scale[0] * np.maximum(self.highest([strings(t) for t in texts]), -3.0) + self.scale[1])
+        # Column by column: a matrix product may round equal rows differently.
+        x = self.measures([strings(t) for t in texts]).T
+        return sigmoid(sum(a * m for a, m in zip(self.scale[:-1], x, strict=True)) + self.scale[-1])
+
+
+def part_of(bag: Counter[str]) -> int:
+    """The part of the documents that a document is in; most near copies are in the same."""
+    return min((hash_of(w) for w in bag if len(w) > 5), default=0) % PARTS
+
 
+def fit_bags(bags: list[Counter[str]], y: np.ndarray, counts: dict[int, int]) -> ToxicityModel:
+    """The machine of all bags, calibrated on the measures that machines of the other parts give to each part."""
+    bags = [Counter(b) for b in bags]
+    model = fit_machine(bags, y, counts)
+    if model.table is None:
+        return model
+    x = model.measures(bags)
+    model.cache.clear()
+    parts = np.array([part_of(b) for b in bags])
+    for p in range(PARTS):
+        own, others = np.flatnonzero(parts == p), np.flatnonzero(parts != p)
+        part = fit_machine([bags[i] for i in others], y[others], counts)
+        if part.table is not None and len(own):
+            x[own] = part.measures([bags[i] for i in own])
+    model.scale = calibrate(x, y, counts)
+    while min(model.scale[:-1]) < 0:  # more telling strings never make a document less toxic
+        x[:, np.argmin(model.scale[:-1])] = 0
+        model.scale = calibrate(x, y, counts)
+    return model
 
-def fit_bags(bags: list[set[str]], y: np.ndarray, counts: dict[int, int]) -> ToxicityModel:
+
+def fit_machine(bags: list[Counter[str]], y: np.ndarray, counts: dict[int, int]) -> ToxicityModel:
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
     if not (y == 1).any() or not (y == 0).any():
@@ -222,7 +269,7 @@ def fit_bags(bags: list[set[str]], y: np.ndarray, counts: dict[int, int]) -> Tox
     # Labels err: what stands in two or three of the toxic kinds only may do so by chance, so it's neither a positive nor a landmark.
     strong = [w for w in ranked if in1[w] >= STRONG_COUNT and ratio(w) >= STRONG_RATIO][:1500]
     first = strong[: LANDMARKS // 4]
-    left = [(b.intersection(strong), len(b.intersection(first))) for b in of1]
+    left = [(b.keys() & strong, len(b.keys() & first)) for b in of1]
     for w in strong[len(first) :]:
         if len(first) < LANDMARKS // 2 and sum(w in b for b, n in left if n < 2) > 1:
             first.append(w)
@@ -246,15 +293,13 @@ def fit_bags(bags: list[set[str]], y: np.ndarray, counts: dict[int, int]) -> Tox
         weight = np.array([min(in1[s], 30) for s in positives] + [1 + min(in0[s], 30) ** 0.5 for s in negatives], float)
         w = svm(z, np.array([1] * len(positives) + [0] * len(negatives)), weight)
         model = ToxicityModel(space.table(w[:-1]), float(w[-1]), (0.0, 0.0), share)
-        model.highest([*of1, *of0])
+        model.look_up([*of1, *of0])
         score = dict(model.cache)
         top = lambda b: max(b, key=lambda s: (score[s], s), default="")
         if turn < ITERATIONS - 1:
             best = sorted({top(b) for b in of1} - {""})
             positives = dict.fromkeys([*strong, *(w for w in first if score[w] > -0.5), *[w for w in best if score[w] > 0 and in1[w] > 1 and ratio(w) >= STRONG_RATIO / 2][:1500]]) or positives
             negatives.update(dict.fromkeys(w for w in sorted({top(b) for b in of0} - {""}) if w not in positives))
-    x = np.maximum(model.highest(bags), -3.0)
-    model.scale = calibrate(x, y, counts)
     model.cache.clear()
     return model
 
@@ -272,14 +317,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", p
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"bag": [sorted(strings(t)) for t in b["text"]], "y": b["y"]})
+            own = [sorted(strings(t).items()) for t in b["text"]]
+            yield pd.DataFrame({"bag": [[w for w, _ in o] for o in own], "times": [[n for _, n in o] for o in own], "y": b["y"]})
 
     def fit(rows: pd.DataFrame) -> ToxicityModel:
         same: dict[str, str] = {}  # documents share most of their strings: each is kept once
-        own = sorted((int(y), [same.setdefault(w, w) for w in bag]) for y, bag in zip(rows["y"], rows["bag"], strict=True))
-        return fit_bags([set(bag) for _, bag in own], np.array([y for y, _ in own], int), counts)
+        own = sorted((int(y), [same.setdefault(w, w) for w in bag], [int(n) for n in times]) for y, bag, times in zip(rows["y"], rows["bag"], rows["times"], strict=True))
+        return fit_bags([Counter(dict(zip(bag, times, strict=True))) for _, bag, times in own], np.array([y for y, _, _ in own], int), counts)
 
-    return fit_in_task(sample.mapInPandas(bags, "bag array<string>, y int"), fit)
+    return fit_in_task(sample.mapInPandas(bags, "bag array<string>, times array<int>, y int"), fit)
 
 
 def score_column(model, spark, text_col: str = "text") -> Column:

@@ -52,24 +52,28 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
     return pickle.loads(got[0]["model"]) if got else fit(none)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
-    """(a, b) of sigmoid(a * x + b), by regularised maximum likelihood with smoothed targets; classes weigh as in the training labels."""
+def calibrate(x: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, ...]:
+    """(a, b) of sigmoid(a * x + b), by regularised maximum likelihood with smoothed targets; classes weigh as in the training labels.
+
+    If x has several columns, an a for each comes before b.
+    """
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(y == 1, counts.get(1, n1) / n1, counts.get(0, n0) / n0)
     weight = weight / weight.mean()
-    mean, spread = x.mean(), x.std() or 1.0
-    z = np.stack([(x - mean) / spread, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+    columns = [x] if x.ndim == 1 else [c.copy() for c in x.T]
+    mean, spread = [c.mean() for c in columns], [c.std() or 1.0 for c in columns]
+    z = np.stack([*[(c - m) / s for c, m, s in zip(columns, mean, spread, strict=True)], np.ones(len(x))], axis=1)
+    w = np.zeros(z.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (weight * (p - target)) + 1e-3 * w
-        h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + 1e-3 * np.eye(2)
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+    return *[float(a / s) for a, s in zip(w[:-1], spread, strict=True)], float(w[-1] - sum(a * m / s for a, m, s in zip(w[:-1], mean, spread, strict=True)))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

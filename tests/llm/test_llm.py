@@ -251,6 +251,35 @@ def test_kernel_tolerates_gaps():
     assert hit > clean and gap > clean
 
 
+def test_one_telling_word_by_chance_is_not_toxic():
+    rng = np.random.default_rng(5)
+    insults = ["idiotic", "moronic", "scumbag", "loserly"]
+
+    def text(i, n):
+        words = [f"{rng.choice(['table', 'window', 'garden', 'letter'])}{rng.integers(400)}" for _ in range(200)]
+        return " ".join([*words, *[insults[(i + k) % 4] for k in range(n)]])
+
+    def docs(n):
+        return [text(i, 6 if i % 2 else int(i % 8 == 0)) for i in range(n)]
+
+    train, test = docs(240), docs(80)
+    model = toxicity.fit_bags([toxicity.strings(t) for t in train], np.array([i % 2 for i in range(240)]), {0: 120, 1: 120})
+    assert list(model.scores(test) >= 0.5) == [bool(i % 2) for i in range(80)]
+    assert toxicity.strings("Idiot, the idiot!")["idiot"] == 2
+
+
+def test_toxicity_on_held_out_rows_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.op5_toxicity(spark, sf).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    clean, other = [r for r in rows if r["toxic"] == 0], [r for r in rows if r["toxic"] == 1 and r["lang"] != "en"]
+    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
+    assert sum(r["predicted"] for r in other) >= 0.9 * len(other)
+    for lang in sorted({r["lang"] for r in rows}):
+        of = [r for r in rows if r["lang"] == lang]
+        print(lang, *[(t, sum(r["predicted"] for r in of if r["toxic"] == t), sum(r["toxic"] == t for r in of)) for t in (0, 1)])
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 
