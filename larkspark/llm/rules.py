@@ -5,6 +5,10 @@ the upper quartile and the upper spread; a rate beyond upper quartile + FENCE ti
 FLOOR of it) fails. No cutoff is fixed for all sources. The thresholds are joined back to the rates and filter
 them. Texts that fail the base rules don't shape the thresholds.
 
+Limits: a group's fences come from its own rows alone, as RULES_SQL has them. In a group of one to three texts the
+upper quartile is the largest value, so nothing there is beyond it; a group that is junk for a quarter or more
+raises its own fence.
+
 Defined results: a null text has no words and fails the base rule, as the empty one does. A null language or
 source is a group of its own. Repeated rows each count. An empty table gives an empty result.
 """
