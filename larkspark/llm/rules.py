@@ -2,7 +2,8 @@
 
 Each text's counts become rates. For each language and source, mergeable quantile sketches of the rates give
 the upper quartile and the upper spread; a rate beyond upper quartile + FENCE times the spread (at least
-FLOOR of it) fails. No cutoff is fixed for all sources. The thresholds are joined back to the rates and filter
+FLOOR of it) fails. No cutoff is given for all sources, but where rates are zero for most texts
+the quartiles are equal and the fence is the constant FENCE * FLOOR above them. The thresholds are joined back to the rates and filter
 them. Texts that fail the base rules don't shape the thresholds.
 
 Limits: a group's fences come from its own rows alone, as RULES_SQL has them. In a group of one to three texts the
