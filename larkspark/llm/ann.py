@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives a vector a long hash string of bits (sides of random hyperplanes); a tree is the sorted array
-of these strings, so the vectors that share a prefix with a query stand together. A query starts at its
-longest prefixes and ascends in all trees at once, a bit at a time, until the prefixes hold enough candidates.
-How many a prefix holds is read from one bounded histogram, so the ascent needs no pass over the vectors.
+Each tree gives a vector a hash string of BITS bits (sides of random hyperplanes). In place of sorted arrays of
+these strings, one bounded histogram counts the vectors of each prefix of up to DEPTH bits, so the ascent needs no
+pass over the vectors. A query ends, in all trees at once, at the longest prefixes of up to DEPTH bits that hold
+enough candidates. At SHARE_PER_TREE these are a few bits long for vectors without structure, whatever the table's
+size: longer prefixes aren't reached, and most of the vectors are scored for each query.
 Candidates are scored in blocks of a prefix's vectors against the queries that reach it; a block returns only
 each query's best ones.
 
