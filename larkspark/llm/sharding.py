@@ -1,5 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
+Tokens are a stand-in, the number of spaces and line feeds plus one: no tokenizer runs. An empty text counts one, a
+text without spaces counts one however long it is, and each space of a run counts.
+
 Rows with equal texts are a group and stay together, unless the group alone holds more than a shard's share;
 then it is split by a hash of the id. A group goes to the shard where the dot product of its size vector with
 the shard's residual capacity is highest. Groups that hold a notable part of a shard are placed first; their
