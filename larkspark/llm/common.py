@@ -4,33 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at once. Texts may be long, so this bounds a worker's memory.
-ROWS_PER_BATCH = 256
+#: Texts that a worker turns into Python objects at once. The Arrow batches themselves are bounded by the
+#: session's spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), whatever the texts' lengths.
+ROWS_AT_ONCE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a folder of this machine is set.
+    A session on one machine that has none (as in tests) gets a folder of this machine; on a cluster such a
+    folder would hold a part of each table only, so there the setting is needed.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspark-"))
         at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspark-"))
-            at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) in the store that the path is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/larkspark-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    system, where = _file(spark, path.rpartition("/")[0])
+    system.deleteOnExit(where)
     return path
 
 
@@ -38,17 +51,67 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends here, and a lost executor loses nothing of it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut wrote, as soon as nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "shared_path", None)
+        if path:
+            system, where = _file(df.sparkSession, path.rpartition("/")[0])
+            with suppress(Exception):  # what stays goes when the application ends
+                system.delete(where, True)
+
+
+Work = Callable[[list], tuple["np.ndarray | None", list[pa.Array]]]
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: str, work: Work) -> DataFrame:
+    """id and columns ("name type, ..."), made from whole texts without a shuffle.
+
+    work takes some texts (None for null) and returns (rows, arrays): an array for each column and the number
+    of the text that each row belongs to, or None if there is one row for each text. Ids stay Arrow values on
+    their way, so longs next to nulls keep all their digits.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                rows, arrays = work(part.column(1).to_pylist())
+                ids = part.column(0) if rows is None else part.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *arrays], ["id", *names])
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, {columns}")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of rows that are sorted by their first columns (longs without nulls), one after the other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([np.asarray(b.column(i)) for i in range(keys)], axis=1)
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for at, to in zip(edges, edges[1:], strict=False):
+            if last is not None and not (k[at] == last).all():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, to - at))
+            last = k[at]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows in an Arrow batch, unless the session already has a smaller bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
-
-
-def parallelism(spark: SparkSession) -> int:
-    """Partitions for a shuffle by hand, as the session has them."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if now <= 0 or now > ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))

@@ -8,27 +8,28 @@ duplicates, and puts the displaced documents back by best fit. Between rounds th
 migrates to the next island of its block; a last task for each block crosses the islands' best ones and keeps
 the best. Evolution of a block ends as soon as the number of bins equals its lower bound.
 
-Defined results: a null or empty text is a document of the closing id alone. Repeated rows are packed each
-for itself; null ids are kept. An empty table gives an empty result. Other columns are not looked at.
+Defined results: a null or empty text is a document of the closing id alone. A text of any length is encoded
+whole, in the memory that its ids take. Repeated rows are packed each for itself; ids may be null or of any
+type and are passed on as they are. Of bins that fit equally well the first one is taken, and of equally long
+pieces the first one goes first. An empty table gives an empty result. Other columns, whatever their names,
+are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import random
-import re
-import struct
 import zlib
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, map_texts
 
-#: Encoded chunks that a worker keeps; the table is emptied when it's full.
-CACHE_ENTRIES = 400_000
 #: Pieces in a block, on average.
 BLOCK_ITEMS = 6000
 ISLANDS = 2
@@ -38,18 +39,13 @@ OFFSPRING = 6
 #: A bin of this share of the capacity is well-filled: a crossover may inject it.
 WELL_FILLED = 0.995
 
-#: White space on both sides of a space: there a space needn't begin a token.
-_UNSAFE = re.compile(r"\s \s")
 
-
-class ChunkedEncoder:
-    """Byte-level BPE ids as bytes. A text is cut before spaces, where this vocabulary's tokens always end, and each distinct chunk is encoded once."""
+class Encoder:
+    """Byte-level BPE ids of whole texts. Each text is encoded by native code in one call."""
 
     SPECIAL = "<|endoftext|>"
 
     def __init__(self, path: str):
-        import json
-
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -65,58 +61,46 @@ class ChunkedEncoder:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             special = {self.SPECIAL: len(ranks)}
-        self.special = [*special]
+        self.path, self.special, self.other = path, {*special}, None
         self.bpe = tiktoken.Encoding("larkspark", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.chunks: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        ids = self.bpe.encode(text, allowed_special="all")
-        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def chunk(self, chunk: str) -> bytes:
-        if len(self.chunks) >= CACHE_ENTRIES:
-            self.chunks.clear()
-        got = self.chunks[chunk] = self.whole(f" {chunk}")
-        return got
-
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return b""
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        get, one = self.chunks.get, self.chunk
-        return self.whole(first) + b"".join([get(c) or one(c) for c in rest])
+            return np.empty(0, np.uint32)
+        allowed = self.special if any(s in text for s in self.special) else set()
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:  # a run of white space that is too long for this engine's pattern
+            if self.other is None:
+                from tokenizers import Tokenizer
+
+                self.other = Tokenizer.from_file(self.path)
+            return np.array(self.other.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-_ENCODERS: dict[str, ChunkedEncoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: id, piece, start, length, ids_crc32. One pass without a shuffle."""
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
         if path not in _ENCODERS:
-            _ENCODERS[path] = ChunkedEncoder(path)
-        encode, end = _ENCODERS[path].encode, struct.pack("<I", end_id)
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["id"], b["text"], strict=True):
-                ids = encode(text) + end
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    to = at + ((n - at - 1) % limit + 1)
-                    rows.append((doc, k, at, to - at, zlib.crc32(ids[4 * at : 4 * to])))
-                    at, k = to, k + 1
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-            out["id"] = out["id"].astype(b["id"].dtype)
-            yield out
-
-    return src.mapInPandas(run, schema)
+            _ENCODERS[path] = Encoder(path)
+        encode, end = _ENCODERS[path].encode, np.array([end_id], "<u4")
+        rows: list[tuple[int, int, int, int, int]] = []
+        for of, text in enumerate(texts):
+            ids = np.concatenate([encode(text).astype("<u4", copy=False), end])
+            n, at, k = len(ids), 0, 0
+            while at < n:
+                to = at + ((n - at - 1) % limit + 1)
+                rows.append((of, k, at, to - at, zlib.crc32(ids[at:to])))
+                at, k = to, k + 1
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        return np.array(columns[0], np.int64), [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
+
+    return map_texts(docs, id_col, text_col, "piece int, start long, length long, ids_crc32 long", work)
 
 
 class Bins:
