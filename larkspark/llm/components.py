@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
+
+
+def _roots(hooks: DataFrame) -> DataFrame:
+    """hooks: node, component (a smaller node or itself). Follows them to their ends, twice as far each round."""
+    while True:
+        to = hooks.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+        new = cut(hooks.join(to, "component").select("node", F.col("component").alias("was"), F.col("beyond").alias("component")), "hooks")
+        drop(hooks)
+        hooks = new.select("node", "component")
+        hooks.shared_path = new.shared_path
+        if new.filter("was <> component").isEmpty():
+            return hooks
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node, component (the smallest node reachable) for every node that has a link.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so a path
-    shortens at least by half a round; rounds end when nothing changes. Labels are written to the shared
-    folder each round. Neither links nor labels go to the driver.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their roots and contracts the
+    links to links between roots, so settled nodes drop out and the graph shrinks at least by half. A node with
+    many links costs no task more than others: its smallest neighbour is found with partial aggregates, and the
+    joins on it have plain exchanges on both sides, which the engine splits. Neither links nor labels go to the
+    driver; each round's tables are deleted after the next one.
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    label = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
+    known = None
     while True:
-        near = edges.join(label, edges["b"] == label["node"]).groupBy(F.col("a").alias("at")).agg(F.min("component").alias("low"))
-        lower = label.join(near, label["node"] == near["at"]).select("node", F.col("component").alias("was"), F.least("component", "low").alias("now"))
-        jump = label.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
-        new = cut(lower.join(jump, lower["now"] == jump["to"]).select("node", "was", F.col("beyond").alias("component")), "labels")
-        if new.filter("was <> component").isEmpty():
-            return new.select("node", "component")
-        label = new.select("node", "component")
+        hooks = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))
+        hooks = _roots(cut(hooks, "hooks"))
+        one, two = (hooks.select(F.col("node").alias(x), F.col("component").alias(f"r{x}")) for x in "ab")
+        left = cut(edges.join(one, "a").select("ra", "b").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), "edges")
+        drop(edges)
+        edges, done = left, left.isEmpty()
+        if known is not None:  # what was hooked before follows its root to the new one
+            further = hooks.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+            new = cut(known.join(further, "component", "left").select("node", F.coalesce("beyond", "component").alias("component")), "components")
+            drop(known, hooks)
+            hooks = new
+        known = hooks
+        if done:
+            drop(edges)
+            return known

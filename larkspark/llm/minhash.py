@@ -3,19 +3,24 @@
 A document's set is its distinct word shingles. Each register holds, on an exponential scale with base BASE,
 the smallest of the exponentially distributed hash values of the set's elements (truncated to one byte); the
 registers of a union are the elementwise larger ones, and those of similar sets agree often. Bands of
-registers make candidates. The similarity of a candidate pair is estimated by maximum likelihood jointly from
-how many registers are larger, smaller and equal and from both sizes; pairs that can still be similar are
-verified on the full sets. Documents with equal sets are one node from the start.
-
-No pairs within a bucket are listed as a whole: first every member of a bucket is held against the smallest
-one, then, in buckets that still hold several components, against the largest one of another component. Buckets
-that hold several components even then are compared in blocks of bounded size, sketches first, between
-components that the block hasn't joined yet; a block returns only the links that join components, and a pair
-is looked at in the first band alone that it shares.
-
-Defined results: a null or empty text, or one without words, has the empty set and is linked with nothing.
-Rows with the same id are one document. A row with a null id is its own component, null, and is kept.
-Other columns are not looked at.
+registers make candidates. Whether a candidate pair's similarity, estimated by maximum likelihood jointly from
+how many registers are larger, smaller and equal and from both sizes, can reach the threshold decides if the
+pair is verified on the full sets. Documents with equal sets are one node from the start.
+
+No pairs within a bucket are listed as a whole. First every member of a bucket is held against the smallest
+one. In buckets that then still hold several components every member is held against the likeliest of a few
+representatives; and where several components are left even then, the members outside the bucket's largest
+component are held against all members, in blocks of bounded size: first by sketches, which leaves the members
+that may still have a link, then those by their sets, between components that the block hasn't joined yet. A
+pair is looked at in the first band alone that it shares. So a bucket of n members of which s are linked with
+none of its largest component costs s times n comparisons of sketches, in (s / BLOCK) * (n / BLOCK) tasks'
+worth of blocks, and no set travels unless a sketch asks for it.
+
+Defined results: a null or empty text, or one without words, has the empty set and is linked with nothing. A
+text of any length counts with its whole set. Rows with equal sets are linked, whether their ids are equal or
+not; rows that share an id but not a text are documents of their own. A row with a null id is its own
+component, null, and is kept. Of a component the rows with its smallest id are kept; drop_near_duplicates
+keeps one of them. An empty table gives an empty result. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, drop, map_texts, runs
 from .components import connected_components
 
 BASE = 1.12
@@ -36,14 +41,16 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: The scale's lowest step is one byte's 0.
 LOWEST = -40
-#: A pair whose estimate is lower than the threshold by this isn't verified: over five standard errors of the estimate.
+#: A pair whose estimate is lower than the threshold by this isn't verified: over four standard errors of the estimate.
 MARGIN = 0.18
 #: Members that one task compares with a bucket's centre.
 CHUNK = 256
-#: Members of a bucket on each side of a block.
-BLOCK = 512
-#: Ids of candidates are broadcast up to this counted number (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Members of a bucket that stand for it while most of it is still to be joined.
+REPRESENTATIVES = 8
+#: Members of a bucket on each side of a block, and bytes of their sets, on average.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Digests of candidates are broadcast up to this counted number (about 40 bytes each).
+BROADCAST_IDS = 200_000
 CACHE_WORDS = 400_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,117 +98,265 @@ def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def _chances(j: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of two sets of similarity j: the chances that a register of the first is larger or smaller, and their derivatives by j."""
+    u = na / (na + nb)
+    v, c, scale = 1 - u, (BASE - 1) / BASE, np.log(BASE)
+    x, y = np.maximum(u - v * j, 0), np.maximum(v - u * j, 0)
+    up, down = (np.maximum(-np.log1p(-z * c) / scale, 1e-9) for z in (x, y))
+    return up, down, -v * c / (1 - x * c) / scale, -u * c / (1 - y * c) / scale
+
+
+def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (a > b).sum(axis=1), (a < b).sum(axis=1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarities of pairs of sketches (rows of a and b) of sets of known sizes."""
-    more, less = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
-    same = REGISTERS - more - less
-    u = (na / (na + nb))[:, None]
-    v = 1 - u
-    j = np.linspace(0, 1, 65)[None, :] * np.minimum(u / v, v / u)
+    more, less = (x[:, None] for x in _counts(a, b))
+    na, nb = na[:, None], nb[:, None]
+    j = np.linspace(0, 1, 65)[None, :] * np.minimum(na / nb, nb / na)
+    up, down, _, _ = _chances(j, na, nb)
+    fit = more * np.log(up) + less * np.log(down) + (REGISTERS - more - less) * np.log(np.maximum(1 - up - down, 1e-9))
+    return j[np.arange(len(j)), fit.argmax(axis=1)]
 
-    def p(x: np.ndarray) -> np.ndarray:
-        return np.maximum(-np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE), 1e-9)
 
-    up, down = p(u - v * j), p(v - u * j)
-    fit = more * np.log(up) + less * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-9))
-    return j[np.arange(len(j)), fit.argmax(axis=1)]
+def may_reach(least: float, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the likelihood, which has one maximum, still rises at least: then the estimate is that or more."""
+    more, less = _counts(a, b)
+    up, down, rise, fall = _chances(least, na, nb)
+    return more * rise / up + less * fall / down - (REGISTERS - more - less) * (rise + fall) / np.maximum(1 - up - down, 1e-9) >= 0
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    common = int((x[at] == y).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
 def sketch_documents(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_shingles, d1 and d2 (128 bits of the whole set; null for the empty set), sketch."""
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t, k) for t in b["text"]]
-            digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-            yield pd.DataFrame({"id": b["id"], "n_shingles": [len(s) for s in sets], "d1": pd.array([d[0] if len(s) else None for d, s in zip(digests, sets, strict=True)], "Int64"), "d2": pd.array([d[1] if len(s) else None for d, s in zip(digests, sets, strict=True)], "Int64"), "sketch": [registers(s).tobytes() for s in sets]})
+    def work(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
+        sets = [shingles(t, k) for t in texts]
+        digests = [_digest(s) if len(s) else (None, None) for s in sets]
+        return None, [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array([registers(s).tobytes() for s in sets], pa.binary())]
+
+    return map_texts(docs, id_col, text_col, "n_shingles long, d1 long, d2 long, sketch binary", work)
+
 
-    return src.mapInPandas(run, f"id {dict(src.dtypes)['id']}, n_shingles long, d1 long, d2 long, sketch binary")
+def _digest(items: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with their estimated similarity j and may: whether they have to be verified."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, items: the full set of each wanted node (node, id, d1, d2), from the text that has its id and its digest."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = texts.join(wanted, "id").select("node", "d1", "d2", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                node, d1, d2, text = (c.to_pylist() for c in b.slice(at, 256).columns)
+                sets = [shingles(t, k) for t in text]
+                good = [i for i, s in enumerate(sets) if len(s) and _digest(s) == (d1[i], d2[i])]
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in good], pa.int64()), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["node", "items"])
+
+    sets = cut(src.mapInArrow(run, "node long, items binary"), "sets")
+    again = sets.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    if again.isEmpty():
+        return sets
+    # Rows that repeat an id with its text: their set is kept once.
+    again = cut(again, "repeated")
+    once = cut(sets.join(again, "node", "left_anti").unionByName(sets.join(again, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))), "sets")
+    drop(sets, again)
+    return once
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that have to be verified, by their sketches."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    kind = dict(pairs.dtypes)["a"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            if len(p):
-                a, b = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-                yield p[["a", "b"]].assign(j=estimate(a, b, p["na"].to_numpy(float), p["nb"].to_numpy(float)))
+            for at in range(0, p.num_rows, 4096):
+                x = p.slice(at, 4096)
+                keep = may_reach(percent / 100 - MARGIN, _sketches(x["sa"]), _sketches(x["sb"]), np.asarray(x["na"], float), np.asarray(x["nb"], float))
+                yield x.select(["a", "b"]).filter(pa.array(keep))
 
     # J is at most the smaller size over the larger one.
     near = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return near.mapInPandas(run, f"a {kind}, b {kind}, j double").withColumn("may", F.col("j") >= percent / 100 - MARGIN)
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) and whether they are a link. One side's set is held while its partners stream by, in chunks of bounded size."""
-    kind = dict(pairs.dtypes)["a"]
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
+    """The links among pairs (a, b). One side's set is held while its partners stream by, in chunks of bounded size."""
+    hot = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).filter("chunks > 1"), "hot")
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "chunks"), F.lit(0).cast("long")).alias("chunk"))
     centres = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "items")
     members = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "items")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.empty(0, np.uint64)
         for p in batches:
-            rows = []
-            for a, role, b, items in zip(p["a"], p["role"], p["b"], p["items"], strict=True):
-                own = np.frombuffer(items, np.uint64)
+            found = []
+            for i, role in enumerate(p["role"].to_pylist()):
+                own = np.frombuffer(p["items"][i].as_buffer(), np.uint64)
                 if role == 0:
-                    centre = own
-                    continue
-                at = np.searchsorted(centre, own)
-                at[at == len(centre)] = 0
-                common = int((centre[at] == own).sum())
-                union = len(centre) + len(own) - common
-                rows.append((a, b, 100 * common >= percent * union))
-            yield pd.DataFrame(rows, columns=["a", "b", "link"]).astype({"link": bool})
+                    centre = own.copy()
+                elif _linked(centre, own, percent):
+                    found.append(i)
+            yield p.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
     both = centres.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return both.mapInPandas(run, f"a {kind}, b {kind}, link boolean")
-
-
-def _compare(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each pair (a, b) and whether it is a link."""
-    guess = cut(_estimated(pairs, nodes, percent), "estimates")
-    sure = _verified(guess.filter("may").select("a", "b"), sets, percent)
-    return cut(sure.unionByName(guess.filter("not may").select("a", "b", F.lit(False).alias("link"))), "pairs")
-
-
-def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The links of a block that join different components."""
-    rows = rows.sort_values("node").reset_index(drop=True)
-    band, i, j = (int(rows[c].iloc[0]) for c in ("band", "i", "j"))
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, REGISTERS)
-    items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-    n, chunk, node = rows["n"].to_numpy(float), rows["chunk"].to_numpy(), rows["node"].to_numpy()
-    _, part = np.unique(rows["component"], return_inverse=True)
-    part, found = part.copy(), []
-    for x in range(len(rows)):
-        far = np.flatnonzero((part != part[x]) & (chunk == (j if chunk[x] == i else i)) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
-        far = far[far > x]
-        if band and len(far):
-            equal = (sketch[far, : band * ROWS] == sketch[x, : band * ROWS]).reshape(len(far), band, ROWS).all(axis=2).any(axis=1)
-            far = far[~equal]
+    links = cut(both.mapInArrow(run, "a long, b long"), "links")
+    drop(hot)
+    return links
+
+
+class _Block:
+    """The members of a bucket that meet in a block: left ones, outside its largest component, against all in right."""
+
+    COLUMNS = "bucket long, i long, j long, node long, component long, band int, minor long, own long, centre long, n long, sketch binary"
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.key = [t[c][0].as_py() for c in ("bucket", "i", "j")]
+        self.percent, self.band = percent, t["band"][0].as_py()
+        self.node, self.component, self.size = (t[c].to_numpy() for c in ("node", "component", "n"))
+        self.left = np.flatnonzero(t["minor"].to_numpy() == self.key[1])
+        self.right = t["own"].to_numpy() == self.key[2]
+        self.outside, self.known = t["minor"].to_numpy() >= 0, self.node == t["centre"][0].as_py()
+        self.sketch = _sketches(t["sketch"])
+
+    def partners(self, x: int, part: np.ndarray) -> np.ndarray:
+        """Who may be linked with x: in another part, not seen with x in an earlier band, of fitting size and sketch."""
+        n = self.size
+        # A pair with the bucket's centre is known; one of two left members is looked at by the smaller one.
+        far = self.right & (part != part[x]) & ~self.known & (~self.outside | (self.node > self.node[x]))
+        far = np.flatnonzero(far & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * self.percent)) if not self.known[x] else np.empty(0, int)
+        if self.band and len(far):
+            to = self.band * ROWS
+            far = far[~(self.sketch[far, :to] == self.sketch[x, :to]).reshape(len(far), self.band, ROWS).all(axis=2).any(axis=1)]
         if not len(far):
-            continue
-        near = estimate(np.broadcast_to(sketch[x], (len(far), REGISTERS)), sketch[far], np.full(len(far), n[x]), n[far])
-        far = far[near >= percent / 100 - MARGIN]
-        for y in far[np.argsort(-near[near >= percent / 100 - MARGIN], kind="stable")]:
-            if part[y] == part[x]:
-                continue
-            at = np.searchsorted(items[x], items[y])
-            at[at == len(items[x])] = 0
-            common = int((items[x][at] == items[y]).sum())
-            if 100 * common >= percent * (len(items[x]) + len(items[y]) - common):
-                found.append((node[x], node[y]))
-                part[part == part[y]] = part[x]
-    return pd.DataFrame(found, columns=["a", "b"]).astype({"a": node.dtype, "b": node.dtype})
+            return far
+        own = np.broadcast_to(self.sketch[x], (len(far), REGISTERS))
+        return far[may_reach(self.percent / 100 - MARGIN, own, self.sketch[far], np.full(len(far), float(n[x])), n[far].astype(float))]
+
+    def alive(self) -> np.ndarray:
+        """Members with a pair that only the sets can decide."""
+        out = np.zeros(len(self.node), bool)
+        for x in self.left:
+            far = self.partners(x, self.component)
+            out[far] = True
+            out[x] |= len(far) > 0
+        return np.flatnonzero(out)
+
+    def links(self, items: list[np.ndarray]) -> list[tuple[int, int]]:
+        """The links that join components, the likeliest partners first."""
+        part, found = self.component.copy(), []
+        for x in self.left:
+            far = self.partners(x, part)
+            if len(far):
+                near = estimate(np.broadcast_to(self.sketch[x], (len(far), REGISTERS)), self.sketch[far], np.full(len(far), float(self.size[x])), self.size[far].astype(float))
+                far = far[np.argsort(-near, kind="stable")]
+            for y in far:
+                if part[y] != part[x] and _linked(items[x], items[y], self.percent):
+                    found.append((int(self.node[x]), int(self.node[y])))
+                    part[part == part[y]] = part[x]
+        return found
+
+
+def _mixed(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and the buckets that hold several of them (pairs have been looked at in full)."""
+    now = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = now.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    mixed = counted.groupBy("bucket").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("several"), F.sum("rows").alias("size"), F.sum("weight").alias("weight"))
+    return now, cut(mixed.filter("several > 1 and size > 2"), "mixed")
+
+
+def _to_representatives(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links of members with one representative of their bucket each; None if no bucket holds several components."""
+    now, mixed = _mixed(members, parts)
+    if mixed.isEmpty():
+        drop(mixed)
+        return None
+    now = cut(now.join(mixed.select("bucket"), "bucket").select("bucket", "node", "component"), "members")
+    sketches = nodes.select("node", "n", "sketch")
+    some = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("slot")).agg(F.min("node").alias("node"))
+    some = some.join(now, ["bucket", "node"]).join(sketches, "node")
+    some = cut(some.groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("others")), "representatives")
+    rows = now.join(sketches, "node").join(some, "bucket").select("node", "component", "n", "sketch", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                count = b["others"].value_lengths().to_numpy()
+                of, flat = np.repeat(np.arange(b.num_rows), count), b["others"].flatten()
+                node, component, n = (b[c].to_numpy() for c in ("node", "component", "n"))
+                other, their, m = (flat.field(c).to_numpy() for c in ("node", "component", "n"))
+                keep = np.flatnonzero((component[of] != their) & (np.minimum(n[of], m) * 100 >= np.maximum(n[of], m) * percent))
+                of, x, y = of[keep], _sketches(b["sketch"])[of[keep]], _sketches(flat.field("sketch"))[keep]
+                other, n, m = other[keep], n[of].astype(float), m[keep].astype(float)
+                good = np.flatnonzero(may_reach(percent / 100 - MARGIN, x, y, n, m)) if len(keep) else keep
+                near = estimate(x[good], y[good], n[good], m[good]) if len(good) else np.empty(0)
+                best = good[np.lexsort((other[good], -near, of[good]))]
+                best = best[np.unique(of[best], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(other[best]), pa.array(node[of[best]])], ["a", "b"])
+
+    near = cut(rows.mapInArrow(run, "a long, b long").distinct(), "similar")
+    links = _verified(near, sets, percent)
+    drop(now, mixed, some, near)
+    return links
+
+
+def _within_buckets(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """The links that buckets with several components still hold; None if there are no such buckets."""
+    now, mixed = _mixed(members, parts)
+    if mixed.isEmpty():
+        drop(mixed)
+        return None
+    chunks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight * 8 / BLOCK_BYTES))
+    outside = F.col("size") - F.col("top.rows")
+    mixed = mixed.select("bucket", F.col("top.component").alias("largest"), chunks(outside, F.col("weight") * outside / F.col("size")).alias("rights"), chunks(F.col("size"), F.col("weight")).alias("lefts"))
+    now = now.join(mixed, "bucket").withColumn("minor", F.when(F.col("component") == F.col("largest"), -1).otherwise(F.pmod(F.xxhash64("node"), "rights"))).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "lefts"))
+    last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    # As a right member in a block for each group of left ones; as a left member also in the blocks of the other right groups.
+    right = now.withColumn("i", F.explode(last("rights"))).withColumn("j", F.col("own"))
+    left = now.filter("minor >= 0 and lefts > 1").withColumn("j", F.explode(F.filter(last("lefts"), lambda x: x != F.col("own")))).withColumn("i", F.col("minor"))
+    columns = [c.split()[0] for c in _Block.COLUMNS.split(", ")]
+    narrow = [c for c in columns if c not in ("n", "sketch")]
+    blocks = cut(right.select(*narrow).unionByName(left.select(*narrow)), "blocks")
+    sketches = nodes.select("node", "n", "sketch")
+
+    def alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            keep = _Block(t, percent).alive()
+            if len(keep):
+                yield from t.select(narrow).take(pa.array(keep)).combine_chunks().to_batches()
+
+    dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    kinds = {c.split()[0]: c for c in _Block.COLUMNS.split(", ")}
+    left_over = cut(dealt(blocks.join(sketches, "node").select(*columns)).mapInArrow(alive, ", ".join(kinds[c] for c in narrow)), "alive")
+    drop(blocks)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            found = _Block(t, percent).links([np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    links = cut(dealt(left_over.join(sketches, "node").join(sets, "node").select(*columns, "items")).mapInArrow(joined, "a long, b long"), "links")
+    drop(left_over)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,52 +365,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Documents are linked if the sizes of their sets' intersection and union have 100 * i >= percent * u.
     """
     prints = cut(sketch_documents(docs, k, id_col, text_col), "sketches")
-    equal = prints.filter("id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("node"), F.count("*").alias("rows"))
-    equal = cut(equal, "equal")
-    nodes = equal.select("node").join(prints.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node").dropDuplicates(["node"])
-    nodes = cut(nodes, "nodes")
-    bands = nodes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("band", "bucket"))
-    first = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    equal = prints.filter("id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    equal = cut(equal.withColumn("node", F.monotonically_increasing_id()), "equal")
+    bands = equal.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("band", "bucket"))
+    first = cut(bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size"), "centres")
     members = cut(bands.join(first, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    wanted = cut(wanted, "wanted")
-    if wanted.count() <= BROADCAST_IDS:
+    drop(first)
+    ids = members.select("node").distinct()
+    nodes = cut(equal.join(ids, "node", "left_semi"), "nodes")
+    wanted = nodes.select("node", "id", "d1", "d2")
+    if nodes.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
-
-    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "items": [shingles(t, k).tobytes() for t in b["text"]]})
-
-    sets = cut(texts.mapInPandas(to_sets, f"node {dict(texts.dtypes)['node']}, items binary").dropDuplicates(["node"]), "sets")
-    known = _compare(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes, sets, percent)
-    links = known.filter("link").select("a", "b")
-    for last in (False, True):
-        parts = connected_components(links)
-        now = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.max(F.struct("component", "node")).alias("top")).filter("least <> most and size > 2")
-        now = cut(now.join(mixed, "bucket"), "mixed")
-        if now.isEmpty():
-            break
-        if not last:
-            pairs = now.filter("component <> top.component").select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
-            found = _compare(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), nodes, sets, percent)
-            links = links.union(found.filter("link").select("a", "b"))
-        else:
-            chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-            dealt = now.select("bucket", "band", "node", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-            other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            blocks = other.select("bucket", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "chunk").join(nodes, "node").join(sets, "node")
-            found = blocks.groupBy("bucket", "i", "j").applyInPandas(lambda rows: _block_links(rows, percent), f"a {dict(nodes.dtypes)['node']}, b {dict(nodes.dtypes)['node']}")
-            links = links.union(cut(found.distinct(), "links"))
-    else:
-        parts = connected_components(links)
-    of = prints.select("id", "n_shingles", "d1", "d2").join(equal.select("d1", "d2", "node"), ["d1", "d2"], "left").join(parts, "node", "left")
-    same = F.coalesce("component", "node", "id")
+    sets = _full_sets(docs, wanted, k, id_col, text_col)
+    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    near = cut(_similar(stars, nodes, percent), "similar")
+    links = _verified(near, sets, percent)
+    parts = connected_components(links)
+    made = [near, links, members, sets, nodes]
+    for step in (_to_representatives, _within_buckets):
+        more = step(members, parts, nodes, sets, percent)
+        if more is not None and not more.isEmpty():
+            drop(parts)
+            links = links.unionByName(more)
+            parts = connected_components(links)
+        made += [] if more is None else [more]
+    drop(*made)
+    # A component's id is the smallest one of its nodes.
+    own = equal.select("node", "id").join(parts, "node")
+    low = cut(own.groupBy("component").agg(F.min("id").alias("low")), "smallest")
+    named = cut(own.join(low, "component").select("node", "low"), "named")
+    labels = cut(equal.select("node", "d1", "d2", "id").join(named, "node", "left").select("d1", "d2", F.coalesce("low", "id").alias("component_id")), "labels")
+    drop(parts, low, named, equal)
+    of = prints.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(labels, ["d1", "d2"], "left")
+    same = F.coalesce("component_id", "id")
     return of.select(F.col("id").alias(id_col), "n_shingles", same.alias("component_id"), F.coalesce(same == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller id."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[docs[c] for c in docs.columns])
+    """One document of each component: one that has its smallest id. All columns as they were.
+
+    Rows are told apart by their id and their text, so of rows that share both one stays.
+    """
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    keyed = docs.withColumn(row, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))))
+    verdict = cut(near_duplicates(keyed, k, percent, row, text_col).select(row, "kept").filter(F.col(row).isNotNull()), "verdicts")
+    gone = cut(verdict.filter("not kept").select(row).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = keyed.join(gone, row, "left_anti")
+    again = cut(verdict.filter("kept").groupBy(row).agg(F.count("*").alias("n")).filter("n > 1").select(row), "repeated")
+    if not again.isEmpty():
+        out = out.join(again, row, "left_anti").unionByName(out.join(again, row, "left_semi").dropDuplicates([row]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
