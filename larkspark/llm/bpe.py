@@ -7,8 +7,10 @@ merging would leave as it is, else it tries the longest shorter prefix that is a
 one token. Whether a pair can stand side by side is worked out from the merges and kept in a table.
 
 Defined results: a null text is encoded as the empty text (no ids, empty decoded text). Special tokens that
-stand in a text become their ids, as the library does by default. Repeated rows give repeated rows; ids
-may be null or repeat; other columns of the input are not looked at.
+stand in a text become their ids, as the library does by default. A text of any length is encoded whole, in
+time that grows with its length. Repeated rows give repeated rows; ids may be null, repeat or be of any type and
+are passed on as they are. An empty table gives an empty result. Other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ import re
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_texts
 
 #: Distinct pre-tokens, and pairs, that a worker keeps; a table is emptied when it's full.
 CACHE_ENTRIES = 600_000
@@ -190,6 +193,9 @@ class BacktrackingBPE:
         blob, offset = self.blob, self.offset
         return b" ".join([blob[offset[i] : offset[i + 1]] for i in ids])
 
+    def holds(self, i: int) -> bool:
+        return 0 <= i < self.size and self.offset[i] < self.offset[i + 1]
+
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8) of a whole text."""
         if not text:
@@ -230,25 +236,33 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     One pass without a shuffle. keep_ids and keep_text leave the wide columns out where only the digests are wanted.
     """
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(src.dtypes)["id"]
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+
+    def work(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
+        got = [encoder(path).encode(t) for t in texts]
+        out = [pa.array([len(a) // 4 for a, _ in got], pa.int64()), *(pa.array([hashlib.sha256(x[i]).hexdigest() for x in got], pa.string()) for i in (0, 1))]
+        if keep_ids:
+            ends = np.cumsum([0, *(len(a) // 4 for a, _ in got)])
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(a for a, _ in got), "<i4"), pa.int32())))
+        if keep_text:
+            out.append(pa.array([d.decode() for _, d in got], pa.string()))
+        return None, out
+
+    return map_texts(docs, id_col, text_col, columns, work).withColumnRenamed("id", id_col)
+
+
+def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Returns id and decoded: the text that an array of ids stands for, by the offset table.
+
+    A null or empty array gives the empty text; null ids and ids that the vocabulary lacks are left out, as the
+    library does. No shuffle.
+    """
+    src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for b in batches:
-            got = [bpe.encode(t) for t in b["text"]]
-            out = {
-                "id": b["id"],
-                "n_tokens": [len(a) // 4 for a, _ in got],
-                "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in got],
-                "decoded_sha256": [hashlib.sha256(d).hexdigest() for _, d in got],
-            }
-            if keep_ids:
-                out["ids"] = [list(struct.unpack(f"<{len(a) // 4}I", a)) for a, _ in got]
-            if keep_text:
-                out["decoded"] = [d.decode() for _, d in got]
-            yield pd.DataFrame(out)
-
-    return src.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+            texts = [bpe.decode([i for i in ids or () if i is not None and bpe.holds(i)]).decode() for ids in (x.as_py() for x in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "decoded"])
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, decoded string").withColumnRenamed("id", id_col)

@@ -107,11 +107,3 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             last = k[at]
     if held:
         yield pa.Table.from_batches(held)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows in an Arrow batch, unless the session already has a smaller bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ROWS_AT_ONCE:
-        spark.conf.set(key, str(ROWS_AT_ONCE))

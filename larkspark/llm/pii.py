@@ -28,7 +28,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: The key that surrogates depend on where none is given. Whoever knows it can undo them: give your own.
 DEFAULT_KEY = b"larkspark"
@@ -275,7 +274,6 @@ def surrogate_column(key: bytes = DEFAULT_KEY, text_col: str = "text") -> Column
 
 def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", entities_col: str | None = "entities") -> DataFrame:
     """docs with surrogates in its texts and, unless entities_col is None, a column of the entities found. No shuffle."""
-    small_batches(docs.sparkSession)
     made = "__surrogates"
     while made in docs.columns:
         made += "_"

@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .toxicity import score_column
 from .training import calibrate, fit_in_task, is_held_out, labelled_sample, sigmoid
 
@@ -184,7 +183,6 @@ def fit_chains(docs: list, y: np.ndarray, counts: dict[int, int]) -> QualityMode
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fits the field on a bounded sample of the labelled documents that aren't held out; only the model goes to the driver."""
-    small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

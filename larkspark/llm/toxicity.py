@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ROWS_AT_ONCE
 from .training import calibrate, fit_in_task, is_held_out, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the machine is fitted on, at most.
@@ -312,7 +312,6 @@ def hash_of(word: str) -> int:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fits the machine on a bounded sample of the labelled documents that aren't held out; only the model goes to the driver."""
-    small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,7 +335,8 @@ def score_column(model, spark, text_col: str = "text") -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for texts in batches:
-            yield pd.Series(own.scores(list(texts)), dtype="float64")
+            parts = [own.scores(list(texts.iloc[at : at + ROWS_AT_ONCE])) for at in range(0, len(texts), ROWS_AT_ONCE)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return score(F.col(text_col).cast("string"))
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, small_batches
+from .common import cut, shared_path
 
 MAGIC = b"WARC/1.1\r\n"
 #: Two line ends close a record, and a header.
@@ -156,7 +156,6 @@ def _reached(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFr
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records under path: file, offset, record_type, id, refers_to, uri, declared_digest, payload_bytes, payload_digest and, if asked for, payload."""
-    small_batches(spark)
     found = cut(_pieces(spark, path).mapInPandas(_candidates, _CANDIDATE), "candidates")
     total = found.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"), F.max(F.struct("ord", "size")).alias("last"))
     order = Window.partitionBy("file").orderBy("split")
