@@ -1,37 +1,49 @@
 """Personal data: detected entities receive keyed surrogates of the same type and format.
 
 A surrogate is a keyed permutation of the entity's own format: each character is drawn from the alphabet of
-the one it stands for (digits, hexadecimal digits, vowels or consonants of a script and case, numbers of an
-address with as many digits). The permutation is a Feistel network P, used as P^-1(P(x) + 1): a shift in
-permuted order. So within a format distinct entities have distinct surrogates, equal ones have equal ones in
-every document and task, none is its own surrogate, and no table of entities has to be kept or shuffled. Where
-a surrogate could meet another kind of value (a listed name, for one) the permutation is applied again until it
-doesn't, which keeps it a permutation: that is the collision check. Forms that differ in case alone are one entity.
-
-Types: email, phone, ip, card (13 to 19 digits; a valid check digit stays valid, an invalid one invalid), iban,
-ssn, secret (assigned tokens and long hexadecimal strings) and name (after a title, in Latin, Greek or Cyrillic;
-listed first names are exchanged within their gender and length, others keep vowels, consonants and their
-last letter). Lengths never change.
-
-Defined results: a null text stays null and has no entities; the empty one is empty. Repeated rows get equal
-results; ids aren't looked at, other columns stay as they are.
+the one it stands for (digits, hexadecimal digits, vowels or consonants of a script and case, letters of its
+part of Unicode elsewhere, numbers of an address with as many digits). The permutation is a Feistel network P,
+used as P^-1(P(x) + 1): a shift in permuted order. So within a format distinct entities have distinct surrogates,
+equal ones have equal ones in every document and task, none is its own surrogate, and no table of entities has
+to be kept or shuffled. Where a surrogate could meet another kind of value (a listed name, for one) the permutation
+is applied again until it doesn't, which keeps it a permutation: that is the collision check. Forms that differ
+in case alone, and numbers and account numbers that differ in their spaces and signs alone, are one entity.
+
+Types: email, phone (a known country code stays), ip (both versions), card (13 to 19 digits; a valid check digit
+stays valid, an invalid one invalid), iban (check digits as for cards), ssn, secret (assigned tokens and
+passwords, keys with a known prefix, long hexadecimal strings) and name (after a title, or a listed first name
+with a surname, in Latin, Greek or Cyrillic; and, in the same document, every further mention of such a name's
+words). Listed first names are exchanged within their gender and length, others keep vowels, consonants and
+their last letter, which often carries the gender. Detection is by patterns and a short list of names: names
+without a title whose first name isn't listed, addresses of houses and numbers without a cue aren't found.
+Lengths never change, and no pattern has an upper length where the type has none.
+
+Defined results: a null text stays null and has no entities; the empty one is empty. A text of any length is
+searched as a whole. Where patterns overlap the one that begins first counts, and of these the one that is listed
+first. Repeated rows get equal results; ids aren't looked at. Other columns stay as they are, but one that is named
+like entities_col is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from math import prod
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: The key that surrogates depend on where none is given. Whoever knows it can undo them: give your own.
-DEFAULT_KEY = b"larkspark"
+#: The setting that holds the key for queries; a session without it gets a random one, kept while it lasts.
+KEY_SETTING = "spark.larkspark.pii.key"
 ROUNDS = 8
+#: Characters that one permutation exchanges together; longer entities go in parts.
+PART = 64
 CACHE_ENTRIES = 100_000
 
 #: Titles by gender, and first names by gender.
@@ -54,25 +66,57 @@ ALPHABETS = (
 )
 _OF = {c: a for a in ALPHABETS for c in a}
 _HEX = "0123456789abcdef"
+_SIGNS = "_+-"
+#: Telephone country codes of one and of two digits; all others have three.
+_CODES = re.compile("[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+#: Prefixes that mark keys, and words that are assigned one.
+KEY_PREFIXES = r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza)"
+_ASSIGNED = r"(?i:\b(?:api|access|secret|private|auth)?[_ -]?(?:key|token|secret|password|passwd|passphrase|pwd))[\"']?\s?[:=]\s?"
+_CALLED = r"(?i:\b(?:tel|telefon|telephone|téléphone|teléfono|phone|mobile|cell|handy|fax|call)\b[.:]?\s?(?:no\.?|me|us|at|is)?\s?[:#]?\s?)"
 
 _GAP = r"[\s|!#*$%&]{0,6}[-.\s]?[\s|!#*$%&]{0,6}"
 _TITLE = "|".join(sorted((re.escape(t) for x in TITLES.values() for t in x), key=len, reverse=True))
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zß-öø-ÿα-ωά-ώа-я'’-]{1,30}"
+_LISTED = "|".join(sorted({n for x in NAMES.values() for n in x}, key=lambda n: (-len(n), n)))
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zß-öø-ÿα-ωά-ώа-я'’-]+"
 _NUMBER = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w+-][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:(?<=token = \")|(?<=token=\")|(?<=key = \")|(?<=key=\")|(?<=secret = \")|(?<=secret=\")|(?<=password = \")|(?<=password=\"))[^\"\s]{8,200}(?=\")|(?<![0-9A-Za-z])(?:(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "email": r"(?<![\w.+-])[\w+-][\w.+-]*@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])",
+    "assigned": rf"{_ASSIGNED}(?:\"(?P<quoted>[^\"\s]{{4,}})\"|'(?P<single>[^'\s]{{4,}})'|(?P<bare>(?=[^\s\"',;]*\d)[^\s\"',;]{{6,}}))",
+    "secret": rf"(?<![0-9A-Za-z]){KEY_PREFIXES}[0-9A-Za-z_-]{{16,}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{{32,}}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{{32,}})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_NUMBER}\.){{3}}{_NUMBER}(?![\d]|\.\d)",
-    "phone": rf"(?<![\w+])\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,5}}(?!\d)|(?<![\w(])\(\d{{3}}\)\s?\d{{3}}-\d{{4}}(?!\d)|(?<![\w-])\d{{3}}-\d{{3}}-\d{{4}}(?![\w-])",
+    "ipv6": rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{2,6}}(?::{_GROUP}){{1,5}}|{_GROUP}:(?::{_GROUP}){{2,6}})(?![\w:])",
+    "phone": rf"(?<![\w+])\+(?:\d{{7,15}}|\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,5}}|\d{{1,3}}(?:[ .-]?\(0\))?(?:[ .-]?\d{{1,2}}){{5}}|\d{{1,3}}[ .-]\(?\d{{2,5}}\)?[ .-]\d{{4,8}})(?!\d)|(?<![\w(])\(\d{{3}}\)\s?\d{{3}}[-.]\d{{4}}(?!\d)|(?<![\w.-])\d{{3}}([-.])\d{{3}}\4\d{{4}}(?![\w-]|\.\d)",
+    "called": rf"{_CALLED}(?P<number>\(?\d(?:[ ()./-]{{0,2}}\d){{6,14}})(?!\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|-\d|\.\d)",
-    "name": rf"(?<=\b)(?:{_TITLE})\b\.?\s(?:{_CAPITAL}\s){{0,2}}{_CAPITAL}",
+    "name": rf"(?<=\b)(?:{_TITLE})\b\.?\s(?:{_CAPITAL}\s){{0,2}}{_CAPITAL}|\b(?:{_LISTED})(?:\s{_CAPITAL}){{1,2}}",
 }
+PATTERNS["phone"] = PATTERNS["phone"].replace("([-.])", "(?P<sign>[-.])").replace(r"\4", "(?P=sign)")
+#: What of a match is the entity, and its type, where it isn't the whole match or the pattern's name.
+_VALUES = {"assigned": ("quoted", "single", "bare"), "called": ("number",)}
+_KINDS = {"assigned": "secret", "called": "phone", "ipv6": "ip"}
 _ALL = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _NUMERIC = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "name"))
-_MAY = re.compile(r"[0-9@]|oken|ey ?=|ecret|assword|OKEN|EY ?=|ECRET|ASSWORD")
-_TITLED = re.compile(rf"\b(?:{_TITLE})\b\.?\s")
+_MAY = re.compile(r"[0-9@]|(?i:key|token|secret|passw|passphrase|pwd)")
+_TITLED = re.compile(rf"\b(?:{_TITLE})\b\.?\s|\b(?:{_LISTED})\s")
+
+
+@lru_cache(maxsize=4096)
+def _letters(c: str) -> str | None:
+    """The letters of a character's class in its part of Unicode, where no alphabet is listed."""
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lu", "Lo", "Lm", "Nd"):
+        return None
+    start = ord(c) & ~127
+    return "".join(x for x in map(chr, range(start, start + 128)) if unicodedata.category(x) == kind and x not in _OF and (kind == "Lo" or len(x.upper()) == len(x.lower()) == 1)) or None
+
+
+def alphabet(c: str) -> str | None:
+    """What a character may be exchanged for, itself among them; None for signs."""
+    found = _OF.get(c) or _letters(c)
+    return found if found and c in found and len(found) > 1 else None
 
 
 class Permutation:
@@ -96,6 +140,16 @@ class Permutation:
         return a, b
 
     def apply(self, digits: list[int], radices: list[int]) -> list[int]:
+        """Long ones go in parts of PART; a part's permutation depends on the ones before it, so the whole is one, too."""
+        out, part = [], self
+        for at in range(0, len(digits), PART):
+            out += part._apply(digits[at : at + PART], radices[at : at + PART])
+            if at + PART < len(digits):
+                before = hashlib.blake2b(part.tweak + repr(digits[at : at + PART]).encode(), digest_size=16).hexdigest()
+                part = Permutation(self.key, before)
+        return out
+
+    def _apply(self, digits: list[int], radices: list[int]) -> list[int]:
         half = (len(radices) + 1) // 2
         m, n = prod(radices[:half]), prod(radices[half:])
         if m * n < 2:
@@ -125,7 +179,7 @@ def luhn(digits: list[int]) -> int:
 class Surrogates:
     """Detection and replacement with one key."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self.permutations: dict[str, Permutation] = {}
         self.cache: dict[tuple[str, str], str] = {}
@@ -139,6 +193,8 @@ class Surrogates:
         alphabets = [alphabet_of(c) for c in text]
         shape = "".join("\x00" if a else c for c, a in zip(text, alphabets, strict=True))
         tweak = f"{tweak}|{shape}|{','.join(a[0] for a in alphabets if a)}"
+        if len(tweak) > 300:
+            tweak = hashlib.blake2b(tweak.encode()).hexdigest()
         if tweak not in self.permutations:
             if len(self.permutations) > CACHE_ENTRIES:
                 self.permutations.clear()
@@ -152,7 +208,11 @@ class Surrogates:
         if got is None:
             if len(self.cache) > CACHE_ENTRIES:
                 self.cache.clear()
-            got = self.cache[kind, text] = getattr(self, f"_{kind}")(text)
+            got = getattr(self, f"_{kind}")(text)
+            if got == text:  # nothing of this format could be exchanged: signs are
+                signs = any(c in _SIGNS for c in text)
+                got = self._permute(f"signs {kind}", text, (lambda c: _SIGNS if c in _SIGNS else None) if signs else alphabet)
+            self.cache[kind, text] = got
         return got
 
     def _cased(self, text: str, replace) -> str:
@@ -166,35 +226,49 @@ class Surrogates:
         labels = host.split(".")
         known = labels[-1].lower() == "example"  # a reserved domain stays; what stands before it is exchanged
         front = ".".join(labels[:-1]) if known else host
-        new = self._cased(local, lambda x: self._permute("local", x, _OF.get))
+        new = self._cased(local, lambda x: self._permute("local", x, alphabet))
         if front:
-            new_front = self._cased(front, lambda x: self._permute("domain", x, _OF.get))
+            new_front = self._cased(front, lambda x: self._permute("domain", x, alphabet))
             host = f"{new_front}.{labels[-1]}" if known else new_front
         return f"{new}@{host}{dot}{top}"
 
     def _digits(self, tweak: str, text: str, fixed: int = 0) -> str:
         """Digits but the first fixed ones; what stands between them is kept but doesn't make another entity."""
-        digits = [c for c in text if c in _OF and _OF[c] is ALPHABETS[0]]
-        new = digits[:fixed] + list(self._permute(f"{tweak}{''.join(digits[:fixed])}", "".join(digits[fixed:]), _OF.get))
+        digits = [c for c in text if c.isdecimal()]
+        new = digits[:fixed] + list(self._permute(f"{tweak}{''.join(digits[:fixed])}", "".join(digits[fixed:]), alphabet))
         it = iter(new)
-        return "".join(next(it) if c in digits else c for c in text)
+        return "".join(next(it) if c.isdecimal() else c for c in text)
 
     def _phone(self, text: str) -> str:
-        return self._digits("phone", text, len(re.match(r"\+?(\d*)", text)[1]) if text.startswith("+") else 0)
+        """A country code stays, whether something stands between it and the number or not."""
+        digits = "".join(c for c in text if c.isdecimal())
+        code = _CODES.match(digits)
+        return self._digits("phone", text, (code.end() if code else 3) if text.startswith("+") else 0)
 
     def _ssn(self, text: str) -> str:
         return self._digits("ssn", text)
 
     def _iban(self, text: str) -> str:
-        return text[:2] + self._permute("iban", text[2:], _OF.get)
+        """Country and the check digits' distance from valid ones are kept; spaces don't make another entity."""
+        plain = text.replace(" ", "")
+        country, check, own = plain[:2], int(plain[2:4]), plain[4:]
+        new = self._permute(f"iban {country}", own, alphabet)
+        if 2 <= check <= 98:  # the range of valid ones; others are kept as they are
+            check = (check - iban_check(country, own) + iban_check(country, new)) % 97
+            check += 97 * (check < 2)
+        it = iter(f"{country}{check:02d}{new}")
+        return "".join(c if c == " " else next(it) for c in text)
 
     def _card(self, text: str) -> str:
         """The first digit and the check digit's distance from a valid one are kept."""
-        digits = [int(c) for c in text if c.isdigit()]
+        digits = [int(c) for c in text if c.isdecimal()]
         off = (digits[-1] - luhn(digits[:-1])) % 10
         new = [int(c) for c in self._digits("card", "".join(map(str, digits[:-1])), 1)]
         it = iter([*new, (luhn(new) + off) % 10])
-        return "".join(str(next(it)) if c.isdigit() else c for c in text)
+        return "".join(str(next(it)) if c.isdecimal() else c for c in text)
+
+    def _ipv6(self, text: str) -> str:
+        return self._cased(text, lambda x: self._permute("ipv6", x, lambda c: _HEX if c in _HEX else None))
 
     def _ip(self, text: str) -> str:
         """Each number keeps how many digits it has."""
@@ -207,27 +281,23 @@ class Surrogates:
         return ".".join(str(x + low) for x, (_, low, _) in zip(new, parts, strict=True))
 
     def _secret(self, text: str) -> str:
-        if re.fullmatch(r"[0-9a-fA-F]+", text):
-            return self._cased(text, lambda x: self._permute("secret", x, lambda c: _HEX)) if text == text.lower() else self._cased_hex(text)
-        return self._permute("secret", text, _OF.get)
-
-    def _cased_hex(self, text: str) -> str:
-        new = self._permute("secret", text.lower(), lambda c: _HEX)
-        return new.upper() if text == text.upper() else new
-
-    def _word(self, word: str, gender: str) -> str:
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and not text.isdecimal():
+            new = self._permute("secret", text.lower(), lambda c: _HEX)
+            return new.upper() if text == text.upper() else new
+        marked = re.match(KEY_PREFIXES, text)
+        front = marked.end() if marked else 0
+        return text[:front] + self._permute(f"secret {text[:front]}", text[front:], alphabet)
+
+    def _word(self, word: str) -> str:
         """One name. A listed first name is exchanged for another of its gender and length."""
         for g, names in NAMES.items():
-            if word in names and gender in (g, "?"):
+            if word in names:
                 pool = [n for n in names if len(n) == len(word)]
                 return pool[self._shift(f"first|{g}|{len(word)}", pool.index(word), len(pool))]
-        own = lambda c: None if c is None else _OF.get(c)
-        new = word
-        while new == word or new.casefold() in self.listed:
-            new = self._permute("name", new[:-1], own) + new[-1]
-            if new.casefold() == word.casefold():
-                break
-        return new
+        new = self._permute("name", word[:-1], alphabet) + word[-1]
+        while new.casefold() in self.listed and new != word:
+            new = self._permute("name", new[:-1], alphabet) + new[-1]
+        return new if new != word else self._permute("whole name", word, alphabet)
 
     def _shift(self, tweak: str, at: int, size: int) -> int:
         if tweak not in self.permutations:
@@ -235,9 +305,10 @@ class Surrogates:
         return self.permutations[tweak].apply([at], [size])[0]
 
     def _name(self, text: str) -> str:
-        title, space, names = re.match(r"(\w+\.?)(\s)(.*)", text, re.S).groups()
-        gender = next((g for g, t in TITLES.items() if title.rstrip(".") in t), "?")
-        return title + space + re.sub(r"[^\s'’-]+", lambda m: self._word(m[0], gender), names)
+        """A title stays; what a word is exchanged for doesn't depend on it, so mentions with and without one agree."""
+        titled = re.match(rf"(?:{_TITLE})\b\.?\s", text)
+        front = titled[0] if titled else ""
+        return front + _NAME_WORD.sub(lambda m: self._word(m[0]), text[len(front) :])
 
     def replace(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int, str]]]:
         """(text with surrogates, entities as (type, start, end, surrogate)). Lengths don't change, so the spans hold in both texts."""
@@ -246,33 +317,68 @@ class Surrogates:
         titled = _TITLED.search(text) is not None
         if not titled and not _MAY.search(text):
             return text, []
-        out, found, at = [], [], 0
+        found, words = [], set()
         for m in (_ALL if titled else _NUMERIC).finditer(text):
-            new = self.of(m.lastgroup, m[0])
-            out += [text[at : m.start()], new]
-            found.append((m.lastgroup, m.start(), m.end(), new))
-            at = m.end()
+            kind = m.lastgroup
+            part = next((v for v in _VALUES.get(kind, ()) if m[v] is not None), kind)
+            found.append((_KINDS.get(kind, kind), m.start(part), m.end(part), self.of("secret" if kind == "assigned" else "phone" if kind == "called" else kind, m[part])))
+            if kind == "name":
+                words.update(w for w in _NAME_WORD.findall(re.sub(rf"^(?:{_TITLE})\b\.?\s", "", m[0])) if len(w) > 2)
+        if words:
+            found = self._mentions(text, found, words)
+        out, at = [], 0
+        for _, start, end, new in found:
+            out += [text[at:start], new]
+            at = end
         out.append(text[at:])
         return "".join(out), found
 
+    def _mentions(self, text: str, found: list, words: set[str]) -> list:
+        """found, and the other places of the document where a word of a name that was found stands."""
+        taken = iter(sorted((start, end) for _, start, end, _ in found))
+        start, end = next(taken, (len(text), len(text)))
+        more = []
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))})(?!\w)", text):
+            while end <= m.start():
+                start, end = next(taken, (len(text), len(text) + 1))
+            if m.end() <= start:
+                more.append(("name", m.start(), m.end(), self.of("word", m[0])))
+        return sorted([*found, *more], key=lambda e: e[1])
+
+
+_NAME_WORD = re.compile(r"[^\s'’-]+")
+
+
+def iban_check(country: str, own: str) -> int:
+    """The valid check digits."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{own}{country}00")) % 97
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in KEY_SETTING; without one a random key for this session, so surrogates can't be undone by who has the code."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        spark.conf.set(KEY_SETTING, key := secrets.token_hex(32))
+    return key.encode()
+
 
 _ENTITY = "array<struct<type: string, start: int, end: int, surrogate: string>>"
 
 
-def surrogate_column(key: bytes = DEFAULT_KEY, text_col: str = "text") -> Column:
+def surrogate_column(key: bytes, text_col: str = "text") -> Column:
     """struct(text, entities) of a whole text."""
 
     @F.pandas_udf(f"text string, entities {_ENTITY}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Surrogates(key)
         for texts in batches:
-            got = [own.replace(t) for t in texts]
+            got = [own.replace(t) for t in texts]  # a batch is bounded by its bytes
             yield pd.DataFrame({"text": [t for t, _ in got], "entities": [[dict(zip(("type", "start", "end", "surrogate"), e, strict=True)) for e in x] for _, x in got]})
 
     return run(F.col(text_col).cast("string"))
 
 
-def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", entities_col: str | None = "entities") -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", entities_col: str | None = "entities") -> DataFrame:
     """docs with surrogates in its texts and, unless entities_col is None, a column of the entities found. No shuffle."""
     made = "__surrogates"
     while made in docs.columns:

@@ -57,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
