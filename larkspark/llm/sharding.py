@@ -1,19 +1,21 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Tokens are a stand-in, the number of spaces and line feeds plus one: no tokenizer runs. An empty text counts one, a
-text without spaces counts one however long it is, and each space of a run counts.
+Tokens are the words of a text (runs without white space), counted over the whole text, or a column that the
+caller has counted by a tokenizer of its own (tokens_col). The result has them, so their balance can be checked.
 
 Rows with equal texts are a group and stay together, unless the group alone holds more than a shard's share;
 then it is split by a hash of the id. A group goes to the shard where the dot product of its size vector with
-the shard's residual capacity is highest. Groups that hold a notable part of a shard are placed first; their
-number is bounded by that part. The others are dealt by a hash into tasks of bounded size, each of which
-places its groups, largest first, into its part of the residual capacities. Slots are numbered by counts
-for each bucket of ids, so no task holds a shard.
+the shard's residual capacity is highest, of equal ones to the first. Groups that hold a notable part of a shard
+are placed first; their number is bounded by that part. The others are dealt by a hash into tasks of bounded
+size, each of which places its groups, largest first, into its part of the residual capacities. Slots are
+numbered by counts for each bucket of ids, so no task holds a shard.
 
 The law is `bytes`: the shards' bytes are near equal.
 
-Defined results: a null text has no bytes, like the empty one, and belongs to its group. Rows with the same id
-or null ids are placed and numbered each for itself. An empty table gives an empty result.
+Defined results: a null text has no bytes and no words, like the empty one, and belongs to its group. A text of
+any length is one row; its bytes and words are counted by the engine. Groups of equal size are placed in the
+order of their texts' digests. Rows with the same id or null ids are placed and numbered each for itself. An empty
+table gives an empty result. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PARTS = 64
 GROUPS_PER_TASK = 20_000
 ROWS_PER_BUCKET = 50_000
 MEASURES = ("bytes", "tokens", "rows")
+#: A word: a run without white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def place(sizes: list[tuple[float, float, float]], residual: list[list[float]]) -> list[int]:
@@ -50,17 +54,18 @@ def place(sizes: list[tuple[float, float, float]], residual: list[list[float]])
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, size (bytes and 1), text_crc32, law, shard, slot, grown_shard."""
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """Returns id, size (bytes and 1), text_crc32, law, shard, slot, grown_shard, tokens."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = text.cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), (F.octet_length(text) - F.octet_length(F.translate(text, " \n", "")) + 1).cast("long").alias("tokens"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("key"))
+    words = F.coalesce(F.col(tokens_col), F.lit(0)).cast("long") if tokens_col else F.regexp_count(text, F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), words.alias("tokens"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("key"))
     rows = cut(rows, "sizes")
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
     if not total["rows"]:
-        return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    share = {m: total[m] / shards for m in MEASURES}
+        return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
+    share = {m: max(total[m], 1) / shards for m in MEASURES}
     # At most 3 * shards groups can be larger than a shard's share.
     large = rows.groupBy("key").agg(*sums).filter(" or ".join(f"{m} > {share[m]!r}" for m in MEASURES)).select("key").collect()
     part = F.lit(-1)
@@ -98,4 +103,4 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32")) - 1
     out = dealt.withColumn("number", number).join(offsets, ["shard", "bucket"])
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
