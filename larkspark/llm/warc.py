@@ -11,15 +11,22 @@ is followed to the first offset beyond the split; between splits pointer jumping
 doubles the distance each round. Only candidates reached that way are records, so a magic line (or a whole
 record) inside a payload isn't taken for one; its pieces go back into the record that holds them.
 
+Ids are percent-encoded in the records, so an id of any characters comes back as it was. Archives are plain
+files, not compressed members. A record is one string of the engine, so a payload has to be under 2 GB and fit
+into a task; a file may be of any size, and no task holds more of it than a split and the records that begin there.
+
 Defined results: a null payload is the empty payload. A row with a null id is always a response. Rows with the
 same id and payload are all responses if theirs is the smallest id. An empty table gives archives without
-records. A file that breaks off, or bytes that no chain reaches, raise an error in read_warc.
+records. A file that breaks off, or bytes that no chain reaches, raise an error in read_warc. Line ends in an
+address are left out. Of equal payloads the smallest id is the response. Other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +40,7 @@ END = b"\r\n\r\n"
 MIN_REVISIT = 100
 #: Revisits are matched by broadcast up to this counted number of rows (an id, a digest and an id each).
 BROADCAST_ROWS = 200_000
-_ID = "urn:larkspark:page:"
+_ID, _NO_ID = "urn:larkspark:page:", "urn:larkspark:none"
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
@@ -51,11 +58,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     lines = [
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit(f"WARC-Record-ID: <{_ID}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <"), F.coalesce(F.concat(F.lit(_ID), F.url_encode(F.col("id").cast("string"))), F.lit(_NO_ID)), F.lit(">")),
         F.lit("WARC-Date: 2000-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("uri", "[\\r\\n]", "")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n" + f"WARC-Refers-To: <{_ID}"), F.col("first").cast("string"), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n" + f"WARC-Refers-To: <{_ID}"), F.url_encode(F.col("first").cast("string")), F.lit(">"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     ]
@@ -93,10 +100,15 @@ _FIELDS = "record_type string, id string, refers_to string, uri string, declared
 _CANDIDATE = f"file string, split long, ord int, at long, size long, goes long, {_FIELDS}"
 
 
+def _named(said: str | None) -> str | None:
+    """The id that a record's name stands for; other writers' names are ids as they are."""
+    name = (said or "").strip("<>")
+    return unquote_plus(name[len(_ID) :]) if name.startswith(_ID) else None if name in ("", _NO_ID) else name
+
+
 def _described(fields: dict[str, str], block: bytes | None) -> tuple:
-    name = lambda x: (x or "").strip("<>").removeprefix(_ID) or None
     payload = split_payload(block) if block is not None else None
-    return (fields.get("warc-type"), name(fields.get("warc-record-id")), name(fields.get("warc-refers-to")), fields.get("warc-target-uri"), (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest())
+    return (fields.get("warc-type"), _named(fields.get("warc-record-id")), _named(fields.get("warc-refers-to")), fields.get("warc-target-uri"), (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest())
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, int, int, bytes]]:
@@ -189,12 +201,17 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def _assembled(spark: SparkSession, path: str, found: DataFrame, base: DataFrame, kept: DataFrame, payloads: bool) -> DataFrame:
-    """Reads the files again for the payloads: of all records, or of those alone that hold magic lines."""
-    ends = Window.partitionBy("file").orderBy("offset")
-    all_pieces = found.join(base, ["file", "split"]).select("file", "split", "ord", (F.col("at") + F.col("base") - len(MAGIC)).alias("offset"))
-    marks = kept.select("file", "offset", F.col("offset").alias("own"), F.col("payload_digest").isNull().alias("open"))
-    owner = all_pieces.join(marks, ["file", "offset"], "left").select("file", "split", "ord", "offset", F.last("own", True).over(ends).alias("own"), F.last("open", True).over(ends).alias("open"))
-    owner = owner.filter("own is not null" if payloads else "open")
+    """Reads the files again: for records that hold magic lines, whose pieces are joined, and if asked for all payloads."""
+    # The record that a piece belongs to begins in its split, or else it is the last one of the splits before.
+    marks = kept.select("file", "split", "ord", F.col("offset").alias("own"), F.col("payload_digest").isNull().alias("open"))
+    inside = Window.partitionBy("file", "split").orderBy("ord")
+    begun = found.select("file", "split", "ord", "at").join(marks, ["file", "split", "ord"], "left")
+    begun = begun.select("file", "split", "ord", "at", F.last(F.when(F.col("own").isNotNull(), F.struct("own", "open")), True).over(inside).alias("here"))
+    last = marks.groupBy("file", "split").agg(F.max(F.struct("own", "open")).alias("mark"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = base.join(last, ["file", "split"], "left").select("file", "split", "base", F.last("mark", True).over(earlier).alias("before"))
+    owner = begun.join(before, ["file", "split"]).withColumn("mark", F.coalesce("here", "before"))
+    owner = owner.filter("mark is not null and mark.open").select("file", "split", "ord", (F.col("at") + F.col("base") - len(MAGIC)).alias("offset"), F.col("mark.own").alias("own"))
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
@@ -212,9 +229,18 @@ def _assembled(spark: SparkSession, path: str, found: DataFrame, base: DataFrame
         payload = split_payload(body[start : start + length])
         return pd.DataFrame([(rows["file"].iloc[0], rows["own"].iloc[0], *_described(fields, body[start : start + length]), payload)], columns=["file", "offset", *(x.split()[0] for x in _FIELDS.split(", ")), "payload"])
 
-    pieces = _pieces(spark, path).mapInPandas(bodies, "file string, split long, ord int, body binary").join(owner, ["file", "split", "ord"])
-    made = pieces.groupBy("file", "own").applyInPandas(join, f"file string, offset long, {_FIELDS}, payload binary")
-    return made if payloads else made.drop("payload").unionByName(kept.filter("payload_digest is not null").select(*made.drop("payload").columns))
+    pieces = _pieces(spark, path).mapInPandas(bodies, "file string, split long, ord int, body binary")
+    made = pieces.join(owner, ["file", "split", "ord"]).groupBy("file", "own").applyInPandas(join, f"file string, offset long, {_FIELDS}, payload binary")
+    whole = kept.filter("payload_digest is not null")
+    if not payloads:
+        return made.drop("payload").unionByName(whole.select(*made.drop("payload").columns))
+
+    @F.pandas_udf("binary")
+    def payload(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda body: split_payload(body[(head := parse_header(body))[0] : head[0] + head[1]]))
+
+    # A record that is one piece needs no other one, so its body goes straight to its payload.
+    return pieces.join(whole, ["file", "split", "ord"]).withColumn("payload", payload("body")).select(*made.columns).unionByName(made)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -223,9 +249,9 @@ def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page
     A revisit's payload is that of the response it refers to; its declared digest has to be that one's.
     """
     path = path or shared_path(pages.sparkSession, "warc")
+    kind = dict(pages.select(id_col).dtypes)[id_col]
     write_warc(pages, path, id_col, uri_col, payload_col)
     got = cut(read_warc(pages.sparkSession, path, payloads=False), "warc-records")
-    kind = dict(pages.select(id_col).dtypes)[id_col]
     of = got.filter(f"record_type = 'response' and payload_bytes >= {MIN_REVISIT}").groupBy(F.col("payload_digest").alias("declared_digest"), F.col("id").alias("refers_to")).agg(F.max("payload_bytes").alias("full_bytes"))
     read = lambda df: df.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
     again = got.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(of, ["declared_digest", "refers_to"], "left")
