@@ -2,13 +2,18 @@
 
 Every line with a word is a position with two labels, good and bad. Its potentials use features of the line
 and of the lines beside it; neighbouring labels share a transition potential. The field is trained by maximum
-likelihood on labelled documents, whose lines inherit their label. A document's quality is the mean of its
+likelihood on labelled documents, whose lines inherit their label: no labelled line is at hand, so transitions
+are learnt from chains whose lines are all good or all bad, and a change within a document rests on the lines'
+own features and on those of their neighbours. A document's quality is the mean of its
 lines' marginal probabilities of being good (by the forward-backward recursions), weighted by their lengths,
 and calibrated.
 
 Defined results: a null or empty text, or one without words, has no line; its score is the calibrated score of
-an even quality (one half). Without labelled documents of both classes all scores are the share of class 1
-among them (0 if none). Repeated rows get equal scores; other columns stay as they are.
+an even quality (one half). A text of any length is scored as a whole: the recursions take a step for
+each line of the longest text among ROWS_AT_ONCE. Without labelled documents of both classes all scores are the
+share of class 1 among them (0 if none). Repeated rows get equal scores; an id with labels of both classes trains
+nothing. score_quality returns its own columns alone; keep_good leaves all columns, whatever their names, as they
+are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ STEPS = 80
 RIDGE = 1e-3
 
 #: Classes of bytes, taken away to count them.
-_UPPER, _LOWER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
+_UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _SYMBOL, _BANG, _PAIRED, _SPACE = b"#*$%&|<>@^~=+_{}[]\\", b"!?", b"()\"'`-/:;", b" \t\r\x0b\x0c"
 #: Thresholds at which a measure of a line turns a feature on.
 _STEPS = {

@@ -11,7 +11,9 @@ upper quartile is the largest value, so nothing there is beyond it; a group that
 raises its own fence.
 
 Defined results: a null text has no words and fails the base rule, as the empty one does. A null language or
-source is a group of its own. Repeated rows each count. An empty table gives an empty result.
+source is a group of its own. A text of any length is looked at whole, as arrays of its words and lines. A rate
+that equals its fence passes. Repeated rows each count. An empty table gives an empty result. Columns other than
+the id, the text, lang and source, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

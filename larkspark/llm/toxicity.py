@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine with a subsequence string kernel and Nyström landmarks.
 
 The kernel counts common subsequences of three characters, each weighted by DECAY to the power of its span in
-both strings, with spans of up to SPAN characters: gaps and inserted characters lower a match but don't undo
+both strings, whose last character stands at most SPAN after the first: gaps and inserted characters lower a match but don't undo
 it. Its features are normalised by their norm as if all subsequences differed, which keeps it a kernel. A
 document is a bag of strings: its words with their ends marked, runs of single characters joined to one, and
 windows of long words. Training on labelled documents alternates (multiple-instance learning): landmarks
@@ -14,9 +14,14 @@ the three come from documents that the machine which scored them wasn't fitted o
 The decision is linear in the landmarks' feature maps, so their weighted sum is one table over character
 triples and a string's score costs the same for any number of landmarks.
 
-Defined results: null and empty texts, and texts without a string, get the score of the lowest decision.
-Without labelled documents of both classes all scores are the share of class 1 among them (0 if none).
-Repeated rows get equal scores; other columns stay as they are.
+Training is bounded by parameters: SAMPLE_PER_CLASS documents, LANDMARKS, RANKED telling strings, POSITIVES and
+NEGATIVES strings that the machine is fitted on. Scoring isn't: every string of a whole text counts.
+
+Defined results: null and empty texts, and texts without a string, get the score of the lowest decision. A text
+of any length is scored as a whole, in memory that grows with it. Without labelled documents of both classes all
+scores are the share of class 1 among them (0 if none). Repeated rows get equal scores; an id with labels of both
+classes trains nothing. score_toxicity returns its own columns alone; drop_toxic leaves all columns, whatever
+their names, as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ SAMPLE_PER_CLASS = 1500
 LANDMARKS = 384
 #: A string counts as toxic from the start if it stands in so many labelled kinds of document, this often for each clean one's rate.
 STRONG_COUNT, STRONG_RATIO = 4, 20
+#: Strings that training looks at, at most: those that set the classes apart most, positives from the start, and usual and rare strings of clean documents.
+RANKED, POSITIVES, NEGATIVES = 40 * LANDMARKS, 1500, (1500, 3000)
 SPAN = 6
 DECAY = 0.5
 ITERATIONS = 3
@@ -264,10 +271,10 @@ def fit_machine(bags: list[Counter[str]], y: np.ndarray, counts: dict[int, int])
         return in1[w] * np.log(ratio(w))
 
     # The strings that set apart most; and greedily those that reach documents which few others reach, so rare kinds get landmarks too.
-    ranked = sorted((w for w in in1 if in1[w] > 1 and in1[w] * n0 > 5 * in0[w] * n1), key=lambda w: (-apart(w), w))[: 40 * LANDMARKS]
+    ranked = sorted((w for w in in1 if in1[w] > 1 and in1[w] * n0 > 5 * in0[w] * n1), key=lambda w: (-apart(w), w))[:RANKED]
     good = set(ranked)
     # Labels err: what stands in two or three of the toxic kinds only may do so by chance, so it's neither a positive nor a landmark.
-    strong = [w for w in ranked if in1[w] >= STRONG_COUNT and ratio(w) >= STRONG_RATIO][:1500]
+    strong = [w for w in ranked if in1[w] >= STRONG_COUNT and ratio(w) >= STRONG_RATIO][:POSITIVES]
     first = strong[: LANDMARKS // 4]
     left = [(b.keys() & strong, len(b.keys() & first)) for b in of1]
     for w in strong[len(first) :]:
@@ -282,7 +289,7 @@ def fit_machine(bags: list[Counter[str]], y: np.ndarray, counts: dict[int, int])
     space = Landmarks(landmarks)
     known: dict[str, np.ndarray] = {}
     positives = dict.fromkeys([*first, *strong])
-    negatives = dict.fromkeys([*usual[:1500], *rare[:3000]])
+    negatives = dict.fromkeys([*usual[: NEGATIVES[0]], *rare[: NEGATIVES[1]]])
     model = None
     for turn in range(ITERATIONS):
         words = [*positives, *negatives]
@@ -298,7 +305,7 @@ def fit_machine(bags: list[Counter[str]], y: np.ndarray, counts: dict[int, int])
         top = lambda b: max(b, key=lambda s: (score[s], s), default="")
         if turn < ITERATIONS - 1:
             best = sorted({top(b) for b in of1} - {""})
-            positives = dict.fromkeys([*strong, *(w for w in first if score[w] > -0.5), *[w for w in best if score[w] > 0 and in1[w] > 1 and ratio(w) >= STRONG_RATIO / 2][:1500]]) or positives
+            positives = dict.fromkeys([*strong, *(w for w in first if score[w] > -0.5), *[w for w in best if score[w] > 0 and in1[w] > 1 and ratio(w) >= STRONG_RATIO / 2][:POSITIVES]]) or positives
             negatives.update(dict.fromkeys(w for w in sorted({top(b) for b in of0} - {""}) if w not in positives))
     model.cache.clear()
     return model

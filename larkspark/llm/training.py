@@ -24,16 +24,18 @@ def is_held_out(id_col: str | Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """Up to per_class training documents of each class (text, y), picked by a hash of the id, and the number of training labels of each class.
 
-    The sample's ids are at most 2 * per_class rows, so they are broadcast and the documents aren't shuffled.
+    The sample's ids are at most 2 * per_class rows, so they are broadcast and the documents aren't shuffled. Of
+    documents that share an id one counts, the one whose text sorts first, so the sample is bounded whatever
+    repeats; an id with labels of both classes trains nothing.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(~is_held_out("id") & F.col("y").isin(0, 1))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     # Labels of documents that an earlier step has dropped find no text, so the ids come from the labels that still have one.
     own = docs.select(F.col(id_col).alias("id"))
-    known = known.join(own.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other").join(own.distinct(), "id", "left_semi")
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, "id").select("text", "y"), counts
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y"), counts
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
