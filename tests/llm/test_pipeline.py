@@ -36,3 +36,27 @@ def test_stages(spark):
     assert all(n for _, n in seen[:3])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+ODD = [(1, None, "en", None, 0), (2, "", None, "s", 0), (3, "x" * 100_000, "en", "s", 100_000), (4, "the same words in a text of some length here " * 20, "de", "s", 900), (4, "the same words in a text of some length here " * 20, "de", "s", 900), (None, "no id at all", "en", "s", 12)]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, entities string, sequence_id long, id string"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names: no stage fails, and only the copy goes where nothing is learnt."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(*r, 0.1, True, "e", 7, "z") for r in ODD], COLUMNS)
+    for rows, kept in ((docs, [5, 5, 5]), (docs.filter("false"), [0, 0, 0])):
+        out = corpus_pipeline.toxicity_filter(spark, rows, str(tmp_path))
+        counts = [out.count()]
+        assert out.columns == rows.columns
+        once = corpus_pipeline.near_dedup(spark, out, str(tmp_path))
+        counts.append(once.count())
+        new = corpus_pipeline.pii_surrogates(spark, once, str(tmp_path))
+        counts.append(new.count())
+        assert once.columns == new.columns == rows.columns
+        packed = corpus_pipeline.best_fit_packing(spark, new, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == (5 if kept[0] else 0)
+        assert counts == ([6, 5, 5] if kept[0] else kept)
+    # Without labels the quality of all is 0, the share of good ones among none: all are rejected, none crash.
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).columns == docs.columns
