@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import inspect
+import itertools
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +50,35 @@ def or_identity(aggregate: Column, identity) -> Column:
 
 def shift(a: Column, bits: int, kind: str = "left") -> Column:
     return {"left": F.shiftleft, "right": F.shiftright, "logical": F.shiftrightunsigned}[kind](a, bits)
+
+
+def merge(*collections: Column) -> Column:
+    """Several lists or bags as one; null if one of them is."""
+    return F.concat(*collections)
+
+
+def element(collection: Column, i: int | Column) -> Column:
+    """The element at a position, from 0; null beyond the ends."""
+    return F.get(collection, F.lit(i) if isinstance(i, int) else i)
+
+
+def register_scalar(spark: SparkSession, name: str, f: Callable, returns: str) -> None:
+    """A function of pandas Series, a batch at a time."""
+    spark.udf.register(name, F.pandas_udf(_typed(f, pd.Series), returns))
+
+
+def register_aggregate(spark: SparkSession, name: str, f: Callable, returns: str) -> None:
+    """A function of a group's pandas Series to one value: a group has to fit into a task, so prefer monoids."""
+    own = dict(zip(inspect.signature(f).parameters, itertools.repeat(pd.Series), strict=False))
+    f.__annotations__ = own | {"return": float}
+    spark.udf.register(name, F.pandas_udf(f, returns))
+
+
+def register_table(spark: SparkSession, name: str, handler: type, returns: str) -> None:
+    """A class whose eval yields rows."""
+    spark.udtf.register(name, F.udtf(handler, returnType=returns))
+
+
+def _typed(f: Callable, kind: type) -> Callable:
+    f.__annotations__ = dict.fromkeys([*inspect.signature(f).parameters, "return"], kind)
+    return f

@@ -44,6 +44,23 @@ def kmeans(df: DataFrame, columns: list[str], k: int, most: int = 20, tolerance:
     return centroids
 
 
+def mixture_step(df: DataFrame, columns: list[str], parts: list[tuple[float, list[float], list[float]]]) -> DataFrame:
+    """One step of expectation maximisation for a mixture of normals with independent columns.
+
+    parts: (weight, means, variances). Returns part, weight, and each column's mean and variance. Responsibilities
+    are one expression, their sums partial aggregates; nothing but a row for each part leaves the tasks.
+    """
+    dense = []
+    for weight, means, variances in parts:
+        logs = [-((F.col(c) - F.lit(m)) ** 2) / F.lit(2 * v) - F.log(F.lit(v)) / 2 for c, m, v in zip(columns, means, variances, strict=True)]
+        dense.append(F.lit(weight) * F.exp(sum(logs[1:], logs[0])))
+    total = sum(dense[1:], dense[0])
+    own = df.select(*columns, F.posexplode(F.array(*[x / total for x in dense])).alias("part", "r"))
+    sums = own.groupBy("part").agg(F.sum("r").alias("n"), F.count("*").alias("rows"), *[F.sum(F.col("r") * F.col(c)).alias(f"s_{c}") for c in columns], *[F.sum(F.col("r") * F.col(c) ** 2).alias(f"q_{c}") for c in columns])
+    mean = {c: F.col(f"s_{c}") / F.col("n") for c in columns}
+    return sums.select("part", (F.col("n") / F.col("rows")).alias("weight"), *[mean[c].alias(f"mean_{c}") for c in columns], *[(F.col(f"q_{c}") / F.col("n") - mean[c] ** 2).alias(f"var_{c}") for c in columns])
+
+
 def normal_mixture(df: DataFrame, columns: list[str], k: int, seed: int = 1):
     """A normal mixture by expectation maximisation; returns the fitted model."""
     from pyspark.ml.clustering import GaussianMixture

@@ -18,10 +18,23 @@ MONOIDS = {
     "bitand": F.bit_and,
     "bagunion": lambda c: F.array_sort(F.collect_list(c)),
     "union": lambda c: F.array_sort(F.collect_set(c)),
-    "append": F.collect_list,
+    "append": lambda c: F.array_sort(F.collect_list(c)),
 }
 
 
+def append(column: Column | str, *order: Column | str) -> Column:
+    """The values as a list in the order of other columns; without any in that of the values themselves."""
+    value = F.col(column) if isinstance(column, str) else column
+    if not order:
+        return F.array_sort(F.collect_list(value))
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]
+    return F.transform(F.array_sort(F.collect_list(F.struct(*keys, value.alias("v")))), lambda r: r["v"])
+
+
+#: A monoid's result over nothing.
+ZEROS = {"sum": 0, "count": 0, "multiply": 1, "or": False, "and": True}
+
+
 def monoid(name: str, column: Column | str) -> Column:
     if name not in MONOIDS:
         raise ValueError(f"unknown monoid {name}")

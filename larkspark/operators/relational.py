@@ -27,6 +27,41 @@ def join(probe: DataFrame, build: DataFrame, on, how: str = "inner", strategy: s
     return probe.join(build, on, how)
 
 
+def row_count_hint(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast in its joins if so many rows of its columns' default sizes are few enough, else to be shuffled.
+
+    Only the plan hangs on the hint: a wrong one costs time, never rows. Hints of selectivity have no counterpart:
+    the optimizer re-plans by what exchanges have measured.
+    """
+    width = sum(int(f.dataType().defaultSize()) for f in df._jdf.schema().fields())
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES and size_estimate(df) <= 64 * BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
+def bloom_build(build: DataFrame, key: str, bits: int = 1 << 20, hashes: int = 3) -> DataFrame:
+    """A Bloom filter of a side's keys as a table: the words of a bit array that aren't zero. Filters of parts merge by bit-or."""
+    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in range(hashes)]))
+    return build.filter(F.col(key).isNotNull()).select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+
+
+def bloom_merge(*filters: DataFrame) -> DataFrame:
+    """The filter of all keys of several filters (a repack of what parts have built)."""
+    return union_all(*filters).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def bloom_probe(probe: DataFrame, bloom: DataFrame, key: str, bits: int = 1 << 20, hashes: int = 3) -> DataFrame:
+    """The probe rows whose key may be in the filter: all that are, and a few others. The filter has a fixed size, so it is broadcast."""
+    words = F.broadcast(bloom.agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("__bloom")))
+    tests = []
+    for i in range(hashes):
+        at = F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits))
+        mask = F.coalesce(F.try_element_at(F.col("__bloom"), F.shiftright(at, 6)), F.lit(0).cast("long"))
+        tests.append(F.shiftrightunsigned(mask, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0)
+    hit = tests[0]
+    for t in tests[1:]:
+        hit &= t
+    return probe.filter(F.col(key).isNotNull()).join(words).filter(hit).drop("__bloom")
+
+
 def bloom_semi(probe: DataFrame, build: DataFrame, key: str) -> DataFrame:
     """The probe rows whose key the build side has: what a Bloom filter approximates, exactly. The optimizer adds a runtime Bloom filter to large scans by itself."""
     return probe.join(build.select(key), key, "left_semi")
@@ -43,14 +78,16 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], time: str, valu
     return both.withColumn("__last", last).filter("__left = 1").select(*left.columns, *[F.col("__last")[v].alias(v) for v in values])
 
 
-def sort(df: DataFrame, *keys: tuple[str, str]) -> DataFrame:
-    """Keys with asc, desc or none (a field that is only kept); nulls last either way. All columns stay."""
+def sort(df: DataFrame, *keys: tuple[str, str], nulls: str = "last") -> DataFrame:
+    """Keys with asc, desc or none (a field that is only kept); nulls last either way, or first if asked for. All columns stay."""
+    if nulls not in ("first", "last"):
+        raise ValueError(f"nulls come first or last, not {nulls}")
     order: list[Column] = []
     for name, direction in keys:
         if direction not in ("asc", "desc", "none"):
             raise ValueError(f"unknown direction {direction}")
         if direction != "none":
-            order.append(F.col(name).asc_nulls_last() if direction == "asc" else F.col(name).desc_nulls_last())
+            order.append(getattr(F.col(name), f"{direction}_nulls_{nulls}")())
     return df.orderBy(*order) if order else df
 
 
@@ -65,11 +102,22 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def split(df: DataFrame, n: int, policy: str = "hash", key: str | None = None) -> list[DataFrame]:
-    """n parts that make up df: by the hash of a key, or of the whole row. Parts are deterministic, so their union is df."""
+def split(df: DataFrame, n: int, policy: str = "hash", key: str | Column | None = None) -> list[DataFrame]:
+    """n parts that make up df. Each part reads df again, so cut an expensive df first.
+
+    hash deals rows by the hash of a key, or else of the whole row; random evenly, by the hash of a row's columns
+    with a seed of its own, so equal rows stay together; local by the partition that a row is in, without looking
+    at it, for a df whose partitions are the same each time it is read. All are deterministic: parts of a
+    recomputed source still make up the whole.
+    """
     if policy not in ("hash", "random", "local"):
         raise ValueError(f"unknown policy {policy}")
-    part = F.pmod(F.xxhash64(*([key] if key else df.columns)), F.lit(n))
+    if policy == "local":
+        part = F.spark_partition_id() % n
+    elif policy == "random":
+        part = F.pmod(F.xxhash64(F.lit("random"), *df.columns), F.lit(n))
+    else:
+        part = F.pmod(F.xxhash64(*([key] if key is not None else df.columns)), F.lit(n))
     return [df.filter(part == i) for i in range(n)]
 
 

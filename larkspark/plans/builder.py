@@ -46,20 +46,33 @@ class Rel:
     def unnest(self, path: str, alias: str, where=None) -> Rel:
         return Rel(nested.unnest(self.df, path, alias, where))
 
+    #: The names that dplyr-like frontends give to unnest and to its outer form.
+    def for_each(self, path: str, alias: str, where=None) -> Rel:
+        return self.unnest(path, alias, where)
+
+    def for_all(self, path: str, alias: str, where=None) -> Rel:
+        return self.outer_unnest(path, alias, where)
+
+    def hint_rows(self, rows: int) -> Rel:
+        return Rel(relational.row_count_hint(self.df, rows))
+
     def outer_unnest(self, path: str, alias: str, where=None) -> Rel:
         return Rel(nested.outer_unnest(self.df, path, alias, where))
 
     def nest(self, keys: list[str], alias: str, fields: list[str]) -> Rel:
         return Rel(nested.nest(self.df, keys, alias, fields))
 
+    def nest_aggregates(self, keys: list[str], where: Column | None = None, zeros: bool = True, **outputs) -> Rel:
+        return Rel(nested.nest_aggregates(self.df, keys, where, zeros, **outputs))
+
     def reduce(self, **outputs) -> Rel:
         return Rel(monoids.reduce(self.df, **outputs))
 
     def group_by(self, keys: list[str], **outputs) -> Rel:
         return Rel(monoids.group_by(self.df, keys, **outputs))
 
-    def sort(self, *keys: tuple[str, str]) -> Rel:
-        return Rel(relational.sort(self.df, *keys))
+    def sort(self, *keys: tuple[str, str], nulls: str = "last") -> Rel:
+        return Rel(relational.sort(self.df, *keys, nulls=nulls))
 
     def limit(self, n: int, offset: int = 0) -> Rel:
         return Rel(self.df.offset(offset).limit(n) if offset else self.df.limit(n))
@@ -67,8 +80,8 @@ class Rel:
     def union_all(self, *others: Rel) -> Rel:
         return Rel(relational.union_all(self.df, *[o.df for o in others]))
 
-    def split(self, n: int, key: str | None = None) -> list[Rel]:
-        return [Rel(x) for x in relational.split(self.df, n, key=key)]
+    def split(self, n: int, key: str | None = None, policy: str = "hash") -> list[Rel]:
+        return [Rel(x) for x in relational.split(self.df, n, policy, key)]
 
     def router(self, n: int, policy: str = "random", key: str | None = None) -> Rel:
         return Rel(relational.exchange(self.df, n, policy, key))

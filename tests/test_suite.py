@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from larkspark.plans import suite
+from larkspark.plans import coverage, suite
 from tests.oracle import connect, same
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -13,6 +13,9 @@ def connection():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(suite.QUERIES))
+QUERIES, ORACLE = suite.QUERIES | coverage.QUERIES, suite.ORACLE | coverage.ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, connection, name):
-    same(suite.QUERIES[name](spark, SF), connection, suite.ORACLE[name])
+    same(QUERIES[name](spark, SF), connection, ORACLE[name])
