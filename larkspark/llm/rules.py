@@ -6,9 +6,11 @@ FLOOR of it) fails. No cutoff is given for all sources, but where rates are zero
 the quartiles are equal and the fence is the constant FENCE * FLOOR above them. The thresholds are joined back to the rates and filter
 them. Texts that fail the base rules don't shape the thresholds.
 
-Limits: a group's fences come from its own rows alone, as RULES_SQL has them. In a group of one to three texts the
-upper quartile is the largest value, so nothing there is beyond it; a group that is junk for a quarter or more
-raises its own fence.
+The sketches are kept for every language and source, merged for every language, and merged for the whole corpus.
+A group with fewer than LEAST_ROWS passing texts takes its language's fences, a language with fewer the corpus's.
+A source whose upper quartile lies beyond its language's fence is junk for a quarter or more, so it would set its
+fences by that junk: it takes its language's, too. A language isn't held against the corpus that way, as languages
+differ for good reasons.
 
 Defined results: a null text has no words and fails the base rule, as the empty one does. A null language or
 source is a group of its own. A text of any length is looked at whole, as arrays of its words and lines. A rate
@@ -32,6 +34,8 @@ MAX_REPEAT_PERCENT = 50
 #: Rate -> the least spread that its fence counts with.
 FLOOR = {"symbol_rate": 0.02, "dup_line_rate": 0.1, "repeat_rate": 0.1, "word_length": 1.0}
 FENCE = 3.0
+#: Passing texts that a group needs for fences of its own.
+LEAST_ROWS = 20
 #: Accuracy of the quantile sketches: the error in rank is 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -72,10 +76,27 @@ def with_rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"symbol_rate": F.col("n_symbols") / chars, "dup_line_rate": F.col("n_dup_lines") * 20 / words, "repeat_rate": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words})
 
 
-def thresholds(rates: DataFrame, groups: tuple[str, ...], fence: float = FENCE) -> DataFrame:
-    """Each group's fences, from sketches that are built in each task and merged."""
-    quartiles = rates.filter("not base_failed").groupBy(*groups).agg(*[F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(r) for r in FLOOR])
-    return quartiles.select(*groups, *[(F.col(r)[1] + fence * F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(low))).alias(f"most_{r}") for r, low in FLOOR.items()])
+def thresholds(rates: DataFrame, groups: tuple[str, ...], fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Each group's fences, from sketches that are built in each task and merged at every level of groups.
+
+    One aggregation makes the sketches of all levels; what is joined afterwards is a row for each group.
+    """
+    measures = [F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(r) for r in FLOOR]
+    passing = rates.filter("not base_failed")
+    sketched = (passing.rollup(*groups) if groups else passing.groupBy()).agg(F.grouping_id().alias("level") if groups else F.lit(0).alias("level"), F.count("*").alias("n"), *measures)
+    own = [(F.col(r)[1] + fence * F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(low))).alias(f"most_{r}") for r, low in FLOOR.items()]
+    sketched = cut(sketched.select(*groups, "level", "n", *[F.col(r)[1].alias(f"upper_{r}") for r in FLOOR], *own), "fences")
+    out = sketched.filter(F.col("level") == 2 ** len(groups) - 1).select(*[f"most_{r}" for r in FLOOR])
+    for k in range(1, len(groups) + 1):  # from the corpus down; the level of a rollup's first k groups has the others' bits set
+        wide = out.select(*[F.col(g).alias(f"of_{g}") for g in groups[: k - 1]], *[F.col(f"most_{r}").alias(f"wide_{r}") for r in FLOOR])
+        fine = sketched.filter(F.col("level") == 2 ** (len(groups) - k) - 1)
+        same = F.lit(True)
+        for g in groups[: k - 1]:
+            same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+        enough = F.col("n") >= least_rows
+        chosen = [F.when(enough & (F.lit(k == 1) | (F.col(f"upper_{r}") <= F.col(f"wide_{r}"))), F.col(f"most_{r}")).otherwise(F.col(f"wide_{r}")).alias(f"most_{r}") for r in FLOOR]
+        out = fine.join(wide, same).select(*groups[:k], *chosen)
+    return out
 
 
 def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +116,7 @@ def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), i
     return joined.select(rates[id_col], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & passes).alias("kept"))
 
 
-#: What apply_rules computes on documents, for DuckDB. Thresholds are exact quantiles; the sketches are, too, for groups under ACCURACY rows.
+#: What apply_rules computes on documents, for DuckDB. Thresholds are exact quantiles; the sketches are, too, for levels under ACCURACY rows.
 RULES_SQL = r"""
 with words as (
   select doc_id, lang, source, coalesce(text, '') as t,
@@ -125,15 +146,25 @@ rates as (
 long as (
   unpivot (select doc_id, lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length from rates where not base_failed)
   on symbol_rate, dup_line_rate, repeat_rate, word_length into name rate value x),
+levels as (
+  select 2 as level, lang, source, rate, x from long union all
+  select 1, lang, null, rate, x from long union all
+  select 0, null, null, rate, x from long),
 ranked as (
-  select lang, source, rate, x, row_number() over (partition by lang, source, rate order by x) as r,
-    count(*) over (partition by lang, source, rate) as n from long),
+  select level, lang, source, rate, x, row_number() over (partition by level, lang, source, rate order by x) as r,
+    count(*) over (partition by level, lang, source, rate) as n from levels),
 quartiles as (
-  select lang, source, rate, min(x) filter (r >= ceil(n * 0.25)) as q1, min(x) filter (r >= ceil(n * 0.75)) as q3
+  select level, lang, source, rate, max(n) as n, min(x) filter (r >= ceil(n * 0.25)) as q1, min(x) filter (r >= ceil(n * 0.75)) as q3
   from ranked group by all),
-fences as (
-  select lang, source, rate, q3 + 3.0 * greatest(q3 - q1, case rate when 'symbol_rate' then 0.02 when 'word_length' then 1.0 else 0.1 end) as most
+own as (
+  select *, q3 + 3.0 * greatest(q3 - q1, case rate when 'symbol_rate' then 0.02 when 'word_length' then 1.0 else 0.1 end) as most
   from quartiles),
+by_language as (
+  select l.lang, l.rate, case when l.n >= 20 then l.most else c.most end as most
+  from own l join own c on l.rate = c.rate and l.level = 1 and c.level = 0),
+fences as (
+  select g.lang, g.source, g.rate, case when g.n >= 20 and g.q3 <= l.most then g.most else l.most end as most
+  from own g join by_language l on g.level = 2 and g.lang is not distinct from l.lang and g.rate = l.rate),
 beyond as (select distinct l.doc_id from long l join fences f on l.lang is not distinct from f.lang and l.source is not distinct from f.source and l.rate = f.rate where l.x > f.most)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and b.doc_id is null as kept

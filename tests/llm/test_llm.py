@@ -584,6 +584,19 @@ def test_rules_match_oracle(spark):
     same(queries.op9_quality_rules(spark, SF), connect(SF), rules.RULES_SQL)
 
 
+def test_small_and_poisoned_groups_take_coarser_fences(spark):
+    """A junk text alone in its source, and a source that is junk for a third, in a language of clean sources."""
+    clean = " ".join(f"word{i}" for i in range(80))
+    junk = " ".join(f"w#{i}#$%" for i in range(80))
+    rows = [(i, f"{clean} {i}", "en", f"s{i % 3}") for i in range(150)]
+    rows += [(1000, junk, "en", "alone")] + [(2000 + i, f"{junk if i % 3 == 0 else clean} {i}", "en", "poisoned") for i in range(60)]
+    rows += [(3000 + i, "字" * 30 + " " + " ".join("漢字仮名交じり文" * 3 + str(k) for k in range(60)) + f" {i}", "ja", "other") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in rules.apply_rules(df).collect()}
+    assert not kept[1000] and all(kept[2000 + i] == (i % 3 != 0) for i in range(60))
+    assert all(kept[i] for i in range(150)) and all(kept[3000 + i] for i in range(40))
+
+
 def test_rules_on_odd_rows(odd, empty):
     rows = rules.apply_rules(odd).collect()
     assert len(rows) == len(ODD)
