@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, turn
 
 #: Distinct pre-tokens, and pairs, that a worker keeps; a table is emptied when it's full.
 CACHE_ENTRIES = 600_000
@@ -239,6 +239,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
     def work(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
+        turn("bpe", _ENCODERS.clear)
         got = [encoder(path).encode(t) for t in texts]
         out = [pa.array([len(a) // 4 for a, _ in got], pa.int64()), *(pa.array([hashlib.sha256(x[i]).hexdigest() for x in got], pa.string()) for i in (0, 1))]
         if keep_ids:

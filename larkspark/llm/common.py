@@ -90,6 +90,17 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: str, work: W
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, {columns}")
 
 
+_turn: list = ["", ()]
+
+
+def turn(name: str, *clear: Callable[[], None]) -> None:
+    """Frees what the operator before has kept in this worker, which the next ones use, too; clear says how to free this one's."""
+    if _turn[0] != name:
+        for f in _turn[1]:
+            f()
+    _turn[:] = [name, clear]
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The groups of rows that are sorted by their first columns (longs without nulls), one after the other."""
     held: list[pa.RecordBatch] = []

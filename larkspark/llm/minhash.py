@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, map_texts, runs
+from .common import cut, drop, map_texts, runs, turn
 from .components import connected_components
 
 BASE = 1.12
@@ -51,7 +51,8 @@ REPRESENTATIVES = 8
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Digests of candidates are broadcast up to this counted number (about 40 bytes each).
 BROADCAST_IDS = 200_000
-CACHE_WORDS = 400_000
+#: Distinct words whose hashes a worker keeps.
+CACHE_WORDS = 250_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _words: dict[bytes, int] = {}
@@ -146,6 +147,7 @@ def sketch_documents(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
     """Returns id, n_shingles, d1 and d2 (128 bits of the whole set; null for the empty set), sketch."""
 
     def work(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
+        turn("minhash", _words.clear)
         sets = [shingles(t, k) for t in texts]
         digests = [_digest(s) if len(s) else (None, None) for s in sets]
         return None, [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array([registers(s).tobytes() for s in sets], pa.binary())]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, turn
 
 #: Pieces in a block, on average.
 BLOCK_ITEMS = 6000
@@ -85,6 +85,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str =
     """The pieces of every document: id, piece, start, length, ids_crc32. One pass without a shuffle."""
 
     def work(texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
+        turn("packing", _ENCODERS.clear)
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encode, end = _ENCODERS[path].encode, np.array([end_id], "<u4")

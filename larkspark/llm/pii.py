@@ -34,10 +34,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import prod
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ROWS_AT_ONCE, turn
+
 
 #: The setting that holds the key for queries; a session without it gets a random one, kept while it lasts.
 KEY_SETTING = "spark.larkspark.pii.key"
@@ -368,12 +370,17 @@ _ENTITY = "array<struct<type: string, start: int, end: int, surrogate: string>>"
 def surrogate_column(key: bytes, text_col: str = "text") -> Column:
     """struct(text, entities) of a whole text."""
 
-    @F.pandas_udf(f"text string, entities {_ENTITY}")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    spans = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+
+    @F.arrow_udf(f"text string, entities {_ENTITY}")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Surrogates(key)
+        turn("pii")
         for texts in batches:
-            got = [own.replace(t) for t in texts]  # a batch is bounded by its bytes
-            yield pd.DataFrame({"text": [t for t, _ in got], "entities": [[dict(zip(("type", "start", "end", "surrogate"), e, strict=True)) for e in x] for _, x in got]})
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                got = [own.replace(t) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()]
+                entities = pa.array([[dict(zip(("type", "start", "end", "surrogate"), e, strict=True)) for e in x] for _, x in got], spans)
+                yield pa.StructArray.from_arrays([pa.array([t for t, _ in got], pa.string()), entities], ["text", "entities"])
 
     return run(F.col(text_col).cast("string"))
 

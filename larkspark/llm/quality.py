@@ -146,6 +146,9 @@ class QualityModel:
     def __init__(self, weights: np.ndarray | None, trans: np.ndarray | None, scale: tuple[float, float], share: float):
         self.weights, self.trans, self.scale, self.share = weights, trans, scale, share
 
+    def forget(self) -> None:
+        """It keeps nothing between texts."""
+
     def evidence(self, chains: Chains) -> np.ndarray:
         q = np.clip(chains.quality(self.weights, self.trans), 1e-4, 1 - 1e-4)
         return np.log(q / (1 - q))

@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE
+from .common import ROWS_AT_ONCE, turn
 from .training import calibrate, fit_in_task, is_held_out, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the machine is fitted on, at most.
@@ -54,7 +55,8 @@ LOWEST, MARGIN = -3.0, 1.0
 COST = 1000.0
 #: Longer words are cut into overlapping windows of this length.
 WINDOW = 24
-CACHE_STRINGS = 400_000
+#: Distinct strings whose decisions a worker keeps.
+CACHE_STRINGS = 250_000
 #: Characters that are cut off at both ends of a word.
 AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Codes: 0 takes no part in a subsequence, EDGE marks a string's ends, other letters share the codes left.
@@ -187,6 +189,9 @@ class ToxicityModel:
     def __reduce__(self):
         return ToxicityModel, (self.table, self.bias, self.scale, self.share)
 
+    def forget(self) -> None:
+        self.cache.clear()
+
     def decisions(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
         for at in range(0, len(words), 2048):
@@ -338,12 +343,13 @@ def score_column(model, spark, text_col: str = "text") -> Column:
     """The model's score of a whole text, as a column. The model is broadcast once; its size doesn't depend on the data."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
+        turn(f"scores {id(own)}", own.forget)
         for texts in batches:
-            parts = [own.scores(list(texts.iloc[at : at + ROWS_AT_ONCE])) for at in range(0, len(texts), ROWS_AT_ONCE)]
-            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                yield pa.array(own.scores(texts.slice(at, ROWS_AT_ONCE).to_pylist()), pa.float64())
 
     return score(F.col(text_col).cast("string"))
 
