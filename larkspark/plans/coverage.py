@@ -613,5 +613,36 @@ for _name, _sql in {
     "ch_q21": "select s_name, count(*) as numwait from supplier, lineitem l1, orders, nation where s_suppkey = l1.l_suppkey and o_orderkey = l1.l_orderkey and l1.l_shipdate > o_orderdate + interval '60' day and not exists (select * from lineitem l2 where l2.l_orderkey = l1.l_orderkey and l2.l_shipdate > l1.l_shipdate) and s_nationkey = n_nationkey and n_regionkey < 3 group by s_name order by numwait desc, s_name",
 }.items():
     from_sql(_name, _sql)
+
+# The other texts of that schema. An item's stock at a supplier is what all its line items there add up to, an open
+# order is a new one, and a customer's nation stands for the state. Anti joins are written as not exists: a join by
+# `not in` would have to broadcast its right side, whatever its size.
+
+_STOCK = "stock as (select l_partkey as st_part, l_suppkey as st_supp, sum(l_quantity) as st_quantity, count(*) as st_orders from lineitem group by l_partkey, l_suppkey)"
+
+for _name, _sql in {
+    "ch_q2": f"with {_STOCK}, least as (select st_part as m_part, min(st_quantity) as m_quantity from stock join supplier on st_supp = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name like 'EUROP%' group by st_part) select s_suppkey, s_name, n_name, p_partkey, p_name from part join stock on p_partkey = st_part join least on st_part = m_part and st_quantity = m_quantity join supplier on st_supp = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where p_type = 'SMALL' and r_name like 'EUROP%'",
+    "ch_q3": "select o_orderkey, round(sum(l_extendedprice), 2) as revenue, o_orderdate from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where c_mktsegment like 'A%' and o_orderstatus = 'O' and o_orderdate > timestamp '1997-01-02' group by o_orderkey, o_orderdate",
+    "ch_q5": "select n_name, round(sum(l_extendedprice), 2) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and s_nationkey = c_nationkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'EUROPE' and o_orderdate >= timestamp '1996-01-02' group by n_name",
+    "ch_q7": "select n1.n_name as supp_nation, n2.n_name as cust_nation, cast(extract(year from o_orderdate) as int) as l_year, round(sum(l_extendedprice), 2) as revenue from supplier join lineitem on s_suppkey = l_suppkey join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join nation n1 on s_nationkey = n1.n_nationkey join nation n2 on c_nationkey = n2.n_nationkey where ((n1.n_name = 'NATION_3' and n2.n_name = 'NATION_8') or (n1.n_name = 'NATION_8' and n2.n_name = 'NATION_3')) and l_shipdate between timestamp '1995-01-02' and timestamp '1999-01-02' group by n1.n_name, n2.n_name, extract(year from o_orderdate)",
+    "ch_q8": "select cast(extract(year from o_orderdate) as int) as l_year, round(sum(case when n2.n_name = 'NATION_3' then l_extendedprice else 0 end) / sum(l_extendedprice), 6) as mkt_share from part join lineitem on p_partkey = l_partkey join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join nation n1 on c_nationkey = n1.n_nationkey join region on n1.n_regionkey = r_regionkey join nation n2 on s_nationkey = n2.n_nationkey where r_name = 'EUROPE' and l_partkey < 1000 and p_name like '%t' and o_orderdate between timestamp '1995-01-02' and timestamp '1999-01-02' group by extract(year from o_orderdate)",
+    "ch_q9": "select n_name, cast(extract(year from o_orderdate) as int) as l_year, round(sum(l_extendedprice), 2) as sum_profit from part join lineitem on p_partkey = l_partkey join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join nation on s_nationkey = n_nationkey where p_name like '%ring' group by n_name, extract(year from o_orderdate)",
+    "ch_q10": "select c_custkey, c_name, round(sum(l_extendedprice), 2) as revenue, c_mktsegment, n_name from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join nation on c_nationkey = n_nationkey where o_orderdate >= timestamp '1997-01-02' and o_orderdate <= l_shipdate group by c_custkey, c_name, c_mktsegment, n_name",
+    "ch_q11": f"with {_STOCK}, held as (select st_part, st_orders from stock join supplier on st_supp = s_suppkey join nation on s_nationkey = n_nationkey where n_name = 'NATION_3') select st_part, cast(sum(st_orders) as bigint) as ordercount from held group by st_part having sum(st_orders) > (select sum(st_orders) * 0.001 from held)",
+    "ch_q13": "select c_count, count(*) as custdist from (select c_custkey, count(o_orderkey) as c_count from customer left join orders on c_custkey = o_custkey and o_orderpriority > '3' group by c_custkey) c_orders group by c_count",
+    "ch_q14": "select round(100.00 * sum(case when p_type like 'PR%' then l_extendedprice else 0 end) / (1 + sum(l_extendedprice)), 6) as promo_revenue from lineitem join part on l_partkey = p_partkey where l_shipdate >= timestamp '1996-01-02' and l_shipdate < timestamp '2000-01-02'",
+    "ch_q15": "with revenue as (select l_suppkey as supplier_no, round(sum(l_extendedprice), 2) as total_revenue from lineitem where l_shipdate >= timestamp '1997-01-02' group by l_suppkey) select s_suppkey, s_name, total_revenue from supplier join revenue on s_suppkey = supplier_no where total_revenue = (select max(total_revenue) from revenue)",
+    "ch_q16": f"with {_STOCK} select p_name, substr(p_brand, 1, 7) as brand, p_size, count(distinct st_supp) as supplier_cnt from stock join part on p_partkey = st_part where p_name not like 'red%' and not exists (select * from supplier where s_suppkey = st_supp and s_acctbal < 0) group by p_name, substr(p_brand, 1, 7), p_size",
+    "ch_q17": "select round(sum(l_extendedprice), 2) / 2.0 as avg_yearly from lineitem join (select p_partkey as t_part, avg(l_quantity) as a from part join lineitem on l_partkey = p_partkey where p_name like '%ring' group by p_partkey) t on l_partkey = t_part where l_quantity < a",
+    "ch_q19": "select round(sum(l_extendedprice), 2) as revenue from lineitem join part on l_partkey = p_partkey where l_quantity between 1 and 10 and p_retailprice between 1 and 400000 and ((p_name like '%ring' and l_linenumber in (1, 2, 3)) or (p_name like '%widget' and l_linenumber in (1, 2, 4)) or (p_name like '%t' and l_linenumber in (1, 5, 3)))",
+    "ch_q20": f"with {_STOCK} select s_name from supplier join nation on s_nationkey = n_nationkey where n_name in ('NATION_3', 'NATION_7') and s_suppkey in (select st_supp from stock join lineitem on l_partkey = st_part and l_suppkey = st_supp where st_part in (select p_partkey from part where p_name like 'red%') and l_shipdate > timestamp '1997-05-23' group by st_supp, st_part, st_quantity having 2 * sum(l_quantity) > st_quantity)",
+    "ch_q22": "select c_nationkey, count(*) as numcust, round(sum(c_acctbal), 2) as totacctbal from customer where c_nationkey between 1 and 7 and c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0.00 and c_nationkey between 1 and 7) and not exists (select * from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') group by c_nationkey",
+    "tpch_q2": f"with {_STOCK} select s_acctbal, s_name, n_name, p_partkey from part join stock on p_partkey = st_part join supplier on st_supp = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where p_size = 15 and r_name = 'ASIA' and st_quantity = (select min(least.st_quantity) from stock least join supplier ls on least.st_supp = ls.s_suppkey join nation ln on ls.s_nationkey = ln.n_nationkey join region lr on ln.n_regionkey = lr.r_regionkey where least.st_part = p_partkey and lr.r_name = 'ASIA') order by s_acctbal desc, n_name, s_name, p_partkey limit 100",
+    "tpch_q11": f"with {_STOCK}, held as (select st_part, st_quantity * p_retailprice as worth from stock join part on st_part = p_partkey join supplier on st_supp = s_suppkey join nation on s_nationkey = n_nationkey where n_name = 'NATION_7') select st_part, round(sum(worth), 2) as value from held group by st_part having sum(worth) > (select sum(worth) * 0.001 from held)",
+    "tpch_q16": f"with {_STOCK} select p_brand, p_type, p_size, count(distinct st_supp) as supplier_cnt from stock join part on p_partkey = st_part where p_brand <> 'Brand#5' and p_type not like 'MED%' and p_size in (49, 14, 23, 45, 19, 3, 36, 9) and not exists (select * from supplier where s_suppkey = st_supp and s_acctbal < 0) group by p_brand, p_type, p_size",
+    "tpch_q20": f"with {_STOCK} select s_name, s_acctbal from supplier join nation on s_nationkey = n_nationkey where n_name = 'NATION_3' and s_suppkey in (select st_supp from stock where st_part in (select p_partkey from part where p_name like 'small%') and st_quantity > (select 0.5 * sum(l_quantity) from lineitem where l_partkey = st_part and l_suppkey = st_supp and l_shipdate >= timestamp '1996-01-01' and l_shipdate < timestamp '1998-01-01'))",
+    "tpch_q21": "select s_name, count(*) as numwait from supplier join lineitem l1 on s_suppkey = l1.l_suppkey join orders on o_orderkey = l1.l_orderkey join nation on s_nationkey = n_nationkey where o_orderstatus = 'F' and l1.l_shipdate > o_orderdate + interval '90' day and n_name = 'NATION_7' and exists (select * from lineitem l2 where l2.l_orderkey = l1.l_orderkey and l2.l_suppkey <> l1.l_suppkey) and not exists (select * from lineitem l3 where l3.l_orderkey = l1.l_orderkey and l3.l_suppkey <> l1.l_suppkey and l3.l_shipdate > o_orderdate + interval '90' day) group by s_name order by numwait desc, s_name limit 100",
+}.items():
+    from_sql(_name, _sql)
 for _name in ("ch_q12",):
     ORACLE[_name] = ORACLE[_name].replace("sum(case", "cast(sum(case").replace("end) as high", "end) as bigint) as high").replace("end) as low", "end) as bigint) as low")
