@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side is broadcast by hand only if its plan's size estimate is at most this.
 BROADCAST_BYTES = 64 << 20
 
+#: About how many pairs a task of join_many makes.
+TASK_PAIRS = 1 << 22
+
 _HINTS = {"shuffle_hash": "shuffle_hash", "merge": "merge", "auto": None, "broadcast": None}
 
 
@@ -27,6 +32,39 @@ def join(probe: DataFrame, build: DataFrame, on, how: str = "inner", strategy: s
     return probe.join(build, on, how)
 
 
+def join_many(probe: DataFrame, build: DataFrame, probe_key: list[str], build_key: list[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """An inner equi join of sides that both repeat their keys, so that its rows grow with the product of the sides.
+
+    Tasks are planned by the bytes they read, which would leave the pairs to a few of them, so an action counts each
+    key's pairs first, and both sides are dealt to as many tasks as the pairs need. A key with more than a quarter of
+    a task's pairs is cut into parts: a probe row, copies too, goes to one of them, a build row to all. The merge join
+    spills, so no side has to fit a task. The probe should be the larger side.
+    """
+    if [t for _, t in probe.select(*probe_key).dtypes] != [t for _, t in build.select(*build_key).dtypes]:
+        raise ValueError("the keys' types differ, so rows wouldn't be dealt alike")
+    names = [f"__key{i}" for i in range(len(probe_key))]
+    probe, build = (df.filter(" and ".join(f"`{k}` is not null" for k in keys)) for df, keys in ((probe, probe_key), (build, build_key)))
+    counts = [df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count("*").alias(c)) for df, keys, c in ((probe, probe_key, "__probe"), (build, build_key, "__build"))]
+    pairs = F.col("__probe").cast("double") * F.col("__build")
+    parts = F.least(F.ceil(pairs * 4 / task_pairs), "__probe").cast("int")
+    keys = counts[0].join(counts[1], names).select(*names, pairs.alias("__pairs"), parts.alias("__parts"))
+    # Keys that are cut have a quarter of a task's pairs at least, so there are at most four a task of them.
+    found = keys.agg(F.sum("__pairs").alias("pairs"), F.collect_list(F.when(F.col("__parts") > 1, F.struct(*names, "__parts"))).alias("cut")).first()
+    tasks = max(1, math.ceil((found["pairs"] or 0) / task_pairs))
+    if tasks > 1 and found["cut"]:
+        cut = F.broadcast(probe.sparkSession.createDataFrame([tuple(r) for r in found["cut"]], keys.drop("__pairs").schema))
+        # Which task a row is dealt to follows from the rows alone, their order within it doesn't, so the task is what tells a key's parts apart.
+        spread = min(tasks, 8 * max(r["__parts"] for r in found["cut"]))
+        probe, build = probe.repartition(spread).withColumn("__task", F.spark_partition_id()), build.repartition(spread)
+        probe, build = (df.join(cut, [df[k] == cut[n] for k, n in zip(keys, names, strict=True)], "left").drop(*names) for df, keys in ((probe, probe_key), (build, build_key)))
+        parts = F.least(F.coalesce("__parts", F.lit(1)), F.lit(spread))
+        probe = probe.withColumn("__part", F.pmod("__task", parts)).drop("__task", "__parts")
+        build = build.withColumn("__to", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+        probe_key, build_key = [*probe_key, "__part"], [*build_key, "__to"]
+    probe, build = probe.repartition(tasks, *probe_key), build.repartition(tasks, *build_key)
+    return join(probe, build, [probe[p] == build[b] for p, b in zip(probe_key, build_key, strict=True)], strategy="merge").drop("__part", "__to")
+
+
 def row_count_hint(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast in its joins if so many rows of its columns' default sizes are few enough, else to be shuffled.
 

@@ -33,8 +33,12 @@ class Rel:
         return Rel(self.df.select(*expressions, *extra))
 
     def join(self, build: Rel, build_key, probe_key, how: str = "inner", strategy: str = "auto") -> Rel:
-        """Equi join on one key or a list of keys a side."""
+        """Equi join on one key or a list of keys a side. Strategy many is for inner joins whose keys repeat on both sides."""
         build_key, probe_key = ([k] if isinstance(k, str) else list(k) for k in (build_key, probe_key))
+        if strategy == "many":
+            if how != "inner":
+                raise ValueError("strategy many is for inner joins")
+            return Rel(relational.join_many(self.df, build.df, probe_key, build_key))
         on = None
         for b, p in zip(build_key, probe_key, strict=True):
             on = (self.df[p] == build.df[b]) if on is None else on & (self.df[p] == build.df[b])

@@ -158,7 +158,7 @@ def join_inner(spark, d):
 def join_composite_key(spark, d):
     c = Rel(table(spark, d, "customer").withColumn("ck", F.col("c_custkey") % 10))
     s = Rel(table(spark, d, "supplier").withColumn("sk", F.col("s_suppkey") % 10))
-    return c.join(s, ["s_nationkey", "sk"], ["c_nationkey", "ck"]).project("c_custkey", "s_suppkey").df
+    return c.join(s, ["s_nationkey", "sk"], ["c_nationkey", "ck"], strategy="many").project("c_custkey", "s_suppkey").df
 
 
 from_sql("join_residual", "select o_orderkey, l_linenumber from orders join lineitem on o_orderkey = l_orderkey and l_extendedprice > o_totalprice * 0.5 and l_shipdate > o_orderdate + interval '60' day")

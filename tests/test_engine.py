@@ -210,6 +210,31 @@ def test_split_is_a_partition(spark, policy):
     assert all(p.count() > 200 for p in parts)
 
 
+def test_joins_of_repeated_keys_deal_their_pairs(spark):
+    """A join's pairs may be many where its sides are small: no task makes them all, even of one key and of copies."""
+    keys = [(1, 1)] * 2000 + [(2, 0), (None, 1), (1, None), (3, 3)] * 5
+    probe = spark.createDataFrame([(*k, i % 50) for i, k in enumerate(keys)], "k int, kk bigint, p int")
+    build = spark.createDataFrame([(*k, i) for i, k in enumerate(keys[1900:])], "j int, jj bigint, b int")
+    want = probe.join(build, [probe["k"] == build["j"], probe["kk"] == build["jj"]])
+    got = relational.join_many(probe, build, ["k", "kk"], ["j", "jj"], task_pairs=10000)
+    assert got.columns == want.columns
+    assert sorted(got.collect()) == sorted(want.collect())
+    dealt = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(dealt) == 200050 and max(dealt) <= 60000
+    for none in (probe.filter("k = 9"), probe.filter("k = 3")):
+        assert relational.join_many(none, build.filter("j = 1"), ["k", "kk"], ["j", "jj"]).count() == 0
+    with pytest.raises(ValueError):
+        relational.join_many(probe, build, ["k"], ["jj"])
+    with pytest.raises(ValueError):
+        Rel(probe).join(Rel(build), "j", "k", "left", strategy="many")
+
+
+def test_composite_key_join_is_dealt(spark):
+    """Left to the sizes of its tables, the join would run in as many tasks as these have files."""
+    plan = suite.QUERIES["join_composite_key"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "SortMergeJoin" in plan
+
+
 def test_mixture_steps_converge(spark):
     df = spark.createDataFrame([(x % 5 + 100.0 * (x % 2),) for x in range(400)], "x double")
     parts = [(0.5, [20.0], [900.0]), (0.5, [70.0], [900.0])]
