@@ -13,6 +13,9 @@ BROADCAST_BYTES = 64 << 20
 #: About how many pairs a task of join_many makes.
 TASK_PAIRS = 1 << 22
 
+#: About how many rows of nearly distinct keys a task groups at once.
+TASK_ROWS = 1 << 19
+
 _HINTS = {"shuffle_hash": "shuffle_hash", "merge": "merge", "auto": None, "broadcast": None}
 
 
@@ -65,6 +68,14 @@ def join_many(probe: DataFrame, build: DataFrame, probe_key: list[str], build_ke
     return join(probe, build, [probe[p] == build[b] for p, b in zip(probe_key, build_key, strict=True)], strategy="merge").drop("__part", "__to")
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """The number of tasks that df's rows, which are counted, are to be dealt to before they are grouped by nearly distinct keys.
+
+    Left to itself the optimizer measures exchanges in packed bytes, and a task's hash tables take many times these.
+    """
+    return max(1, math.ceil(df.count() / rows))
+
+
 def row_count_hint(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast in its joins if so many rows of its columns' default sizes are few enough, else to be shuffled.
 

@@ -37,8 +37,8 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
-def from_sql(name: str, sql: str, oracle: str | None = None) -> None:
-    """Registers a query in SQL; the views it names are the driver's tables."""
+def from_sql(name: str, sql: str, oracle: str | None = None, dealt: str | None = None) -> None:
+    """Registers a query in SQL; the views it names are the driver's tables. {tasks} in it is the number of tasks for the rows of the table dealt."""
     from ..session import TABLES, register
 
     used = tuple(t for t in TABLES if t in sql)
@@ -46,7 +46,8 @@ def from_sql(name: str, sql: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, used)
         # The tables' times have no zone; a literal with one would need a cast of the column, which no scan can use.
-        return SqlFront(spark).sql(sql.replace("timestamp '", "timestamp_ntz '"))
+        text = sql.replace("timestamp '", "timestamp_ntz '")
+        return SqlFront(spark).sql(text.replace("{tasks}", str(relational.tasks_for(table(spark, sf_dir, dealt)))) if dealt else text)
 
     QUERIES[name], ORACLE[name] = run, oracle or sql
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from larkspark.functions.scalars import extract, int_div
 from larkspark.operators import clustering, monoids, nested, relational
-from larkspark.plans import suite
+from larkspark.plans import coverage, suite
 from larkspark.plans.builder import Rel
 from larkspark.plans.cli import serve
-from larkspark.plans.coverage import _TRUE, at, named, two, whole
+from larkspark.plans.coverage import _STOCK, _TRUE, at, named, two, whole
 from larkspark.plans.planjson import plan
 from larkspark.plans.sqlfront import SqlFront, rewrite
 from larkspark.sources import sinks
@@ -235,6 +235,16 @@ def test_composite_key_join_is_dealt(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2 and "SortMergeJoin" in plan
 
 
+def test_stock_is_dealt_by_rows(spark):
+    """Stock has nearly as many rows as line items: a task gets a number of them, not a number of packed bytes."""
+    assert [relational.tasks_for(spark.range(n), 500) for n in (0, 500, 1001)] == [1, 1, 3]
+    users = [n for n, sql in coverage.ORACLE.items() if _STOCK in sql]
+    assert len(users) == 8
+    for name in users:
+        plan = coverage.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") >= 1 + name.endswith("q16"), name
+
+
 def test_mixture_steps_converge(spark):
     df = spark.createDataFrame([(x % 5 + 100.0 * (x % 2),) for x in range(400)], "x double")
     parts = [(0.5, [20.0], [900.0]), (0.5, [70.0], [900.0])]
