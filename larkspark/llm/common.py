@@ -47,11 +47,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def plain_files(spark: SparkSession, path: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Options to write and to read tables at path without checksum files, where the stock local store has no native code.
+
+    There every file made on an executor starts chmod, and for that moment the executor's memory counts twice to
+    those who add up processes; a checksum file is one more. Parquet's own page checksums are verified instead.
+    Other stores get no options.
+    """
+    system, _ = _file(spark, path)
+    stock = system.getClass().getName() in ("org.apache.hadoop.fs.LocalFileSystem", "org.apache.hadoop.hive.ql.io.ProxyLocalFileSystem")
+    if not stock or spark.sparkContext._jvm.org.apache.hadoop.io.nativeio.NativeIO.isAvailable():
+        return {}, {}
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}, {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends here, and a lost executor loses nothing of it."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    write, read = plain_files(df.sparkSession, path)
+    df.write.options(**write).parquet(path)
+    out = df.sparkSession.read.options(**read).schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 

@@ -200,8 +200,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b). One side's set is held while its partners stream by, in chunks of bounded size."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links among pairs (a, b), to be read once, and a table that they need. One side's set is held while its partners stream by, in chunks of bounded size."""
     hot = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).filter("chunks > 1"), "hot")
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "chunks"), F.lit(0).cast("long")).alias("chunk"))
     centres = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "items")
@@ -220,9 +220,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield p.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
     both = centres.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    links = cut(both.mapInArrow(run, "a long, b long"), "links")
-    drop(hot)
-    return links
+    return both.mapInArrow(run, "a long, b long"), hot
 
 
 class _Block:
@@ -285,12 +283,11 @@ def _mixed(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return now, cut(mixed.filter("several > 1 and size > 2"), "mixed")
 
 
-def _to_representatives(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links of members with one representative of their bucket each; None if no bucket holds several components."""
+def _to_representatives(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Links of members with one representative of their bucket each, to be read once, and the tables that they need; None if no bucket holds several components."""
     now, mixed = _mixed(members, parts)
     if mixed.isEmpty():
-        drop(mixed)
-        return None
+        return None, [mixed]
     now = cut(now.join(mixed.select("bucket"), "bucket").select("bucket", "node", "component"), "members")
     sketches = nodes.select("node", "n", "sketch")
     some = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("slot")).agg(F.min("node").alias("node"))
@@ -316,20 +313,18 @@ def _to_representatives(members: DataFrame, parts: DataFrame, nodes: DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array(other[best]), pa.array(node[of[best]])], ["a", "b"])
 
     near = cut(rows.mapInArrow(run, "a long, b long").distinct(), "similar")
-    links = _verified(near, sets, percent)
-    drop(now, mixed, some, near)
-    return links
+    links, hot = _verified(near, sets, percent)
+    return links, [now, mixed, some, near, hot]
 
 
-def _within_buckets(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """The links that buckets with several components still hold; None if there are no such buckets."""
+def _within_buckets(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """The links that buckets with several components still hold, to be read once, and the tables that they need; None if there are no such buckets."""
     now, mixed = _mixed(members, parts)
     if mixed.isEmpty():
-        drop(mixed)
-        return None
+        return None, [mixed]
     chunks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight * 8 / BLOCK_BYTES))
     outside = F.col("size") - F.col("top.rows")
-    mixed = mixed.select("bucket", F.col("top.component").alias("largest"), chunks(outside, F.col("weight") * outside / F.col("size")).alias("rights"), chunks(F.col("size"), F.col("weight")).alias("lefts"))
+    mixed_table, mixed = mixed, mixed.select("bucket", F.col("top.component").alias("largest"), chunks(outside, F.col("weight") * outside / F.col("size")).alias("rights"), chunks(F.col("size"), F.col("weight")).alias("lefts"))
     now = now.join(mixed, "bucket").withColumn("minor", F.when(F.col("component") == F.col("largest"), -1).otherwise(F.pmod(F.xxhash64("node"), "rights"))).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "lefts"))
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     # As a right member in a block for each group of left ones; as a left member also in the blocks of the other right groups.
@@ -356,9 +351,8 @@ def _within_buckets(members: DataFrame, parts: DataFrame, nodes: DataFrame, sets
             found = _Block(t, percent).links([np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    links = cut(dealt(left_over.join(sketches, "node").join(sets, "node").select(*columns, "items")).mapInArrow(joined, "a long, b long"), "links")
-    drop(left_over)
-    return links
+    links = dealt(left_over.join(sketches, "node").join(sets, "node").select(*columns, "items")).mapInArrow(joined, "a long, b long")
+    return links, [left_over, mixed_table]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,23 +375,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = _full_sets(docs, wanted, k, id_col, text_col)
     stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     near = cut(_similar(stars, nodes, percent), "similar")
-    links = _verified(near, sets, percent)
+    links, hot = _verified(near, sets, percent)
     parts = connected_components(links)
-    made = [near, links, members, sets, nodes]
+    drop(near, hot)
     for step in (_to_representatives, _within_buckets):
-        more = step(members, parts, nodes, sets, percent)
-        if more is not None and not more.isEmpty():
+        links, needed = step(members, parts, nodes, sets, percent)
+        if links is not None:
+            # A component stays one as the star of its smallest node.
+            joined = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
             drop(parts)
-            links = links.unionByName(more)
-            parts = connected_components(links)
-        made += [] if more is None else [more]
-    drop(*made)
+            parts = joined
+        drop(*needed)
+    drop(members, sets, nodes)
     # A component's id is the smallest one of its nodes.
     own = equal.select("node", "id").join(parts, "node")
     low = cut(own.groupBy("component").agg(F.min("id").alias("low")), "smallest")
-    named = cut(own.join(low, "component").select("node", "low"), "named")
+    named = own.join(low, "component").select("node", "low")
     labels = cut(equal.select("node", "d1", "d2", "id").join(named, "node", "left").select("d1", "d2", F.coalesce("low", "id").alias("component_id")), "labels")
-    drop(parts, low, named, equal)
+    drop(parts, low, equal)
     of = prints.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(labels, ["d1", "d2"], "left")
     same = F.coalesce("component_id", "id")
     return of.select(F.col("id").alias(id_col), "n_shingles", same.alias("component_id"), F.coalesce(same == F.col("id"), F.lit(True)).alias("kept"))

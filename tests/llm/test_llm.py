@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import struct
 import zlib
 from collections import defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspark.llm import ann, bpe, components, minhash, packing, pii, quality, queries, rules, sharding, toxicity, warc
+from larkspark.llm import ann, bpe, common, components, minhash, packing, pii, quality, queries, rules, sharding, toxicity, warc
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -302,6 +304,42 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def files(df):
+    """Names of all files of a table that cut wrote, hidden ones too."""
+    return os.listdir(urlparse(df.shared_path).path)
+
+
+def test_tables_between_steps_start_few_processes(spark, monkeypatch):
+    """Each file that is made on an executor starts one."""
+    made = []
+    monkeypatch.setattr(components, "cut", lambda df, name: made.append((name, files(out := common.cut(df, name)))) or out)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        assert {r["component"] for r in components.connected_components(links).collect()} == {0}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert not [f for _, names in made for f in names if f.endswith(".crc")]
+    assert {sum(f.startswith("part-") for f in names) for name, names in made[1:]} == {1}
+
+
+def test_a_damaged_table_between_steps_is_noticed(spark):
+    table = common.cut(spark.range(5000).select(F.xxhash64("id").alias("h")).coalesce(1), "table")
+    assert table.count() == 5000
+    at = urlparse(table.shared_path).path
+    [part] = [f"{at}/{f}" for f in files(table) if f.startswith("part-")]
+    with open(part, "r+b") as f:
+        f.seek(20_000)
+        byte = f.read(1)
+        f.seek(20_000)
+        f.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        table.agg(F.sum(F.col("h").cast("decimal(38,0)"))).collect()
+
+
 # 4
 
 
